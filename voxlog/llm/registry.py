@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .sharding import op1_kd_sharding
 
 
 def queries() -> dict:
     return {
+        "op1_kd_sharding": op1_kd_sharding,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
