@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .simhash import op6_simhash_near_dedup
+from .packing import op4_best_fit_packing
 from .sharding import op1_kd_sharding
 
 
 def queries() -> dict:
     return {
         "op1_kd_sharding": op1_kd_sharding,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op8_exact_dedup": op8_exact_dedup,
     }
