@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_formatting
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .simhash import op6_simhash_near_dedup
 from .packing import op4_best_fit_packing
@@ -14,8 +15,9 @@ def queries() -> dict:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_chat_formatting": op9_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
