@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat_formatting
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .html_text import op7_html_extraction
 from .simhash import op6_simhash_near_dedup
 from .packing import op4_best_fit_packing
 from .sharding import op1_kd_sharding
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op1_kd_sharding": op1_kd_sharding,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_html_extraction": op7_html_extraction,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_chat_formatting": op9_chat_formatting,
     }
