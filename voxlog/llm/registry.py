@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_kmeans_tree_search
 from .chat import OP9_SQL, op9_chat_formatting
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op7_html_extraction
@@ -13,6 +14,7 @@ from .sharding import op1_kd_sharding
 def queries() -> dict:
     return {
         "op1_kd_sharding": op1_kd_sharding,
+        "op2_kmeans_tree_search": op2_kmeans_tree_search,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
