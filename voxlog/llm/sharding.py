@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Scratch, table, text_of
+from .shared import Scratch, literal_rows, table, text_of
 
 #: Rows of a histogram sent to the driver in one pass, over all nodes of a level.
 HISTOGRAM_ROWS = 1 << 16
@@ -74,7 +74,7 @@ def kd_shard(
                 width = [(hi - lo) / max(1, spread["hi"][i] - spread["lo"][i]) for i, (lo, hi) in enumerate(zip(found[node]["lo"], found[node]["hi"], strict=True))]
                 splits[node] = {"dim": width.index(max(width)), "w": found[node]["w"] * (k // 2) / k}
         cuts = _cuts(spark, rows, splits, found, len(dims))
-        at = F.broadcast(spark.createDataFrame([(n, splits[n]["dim"], *cuts[n]) for n in splits], "node int, dim int, c0 long, c1 long, c2 long"))
+        at = F.broadcast(literal_rows(spark, [(n, splits[n]["dim"], *cuts[n]) for n in splits], "node int, dim int, c0 long, c1 long, c2 long"))
         rows = rows.join(at, "node", "left").withColumn("x", _pick("dim", len(dims)))
         low = (F.col("x") < F.col("c0")) | ((F.col("x") == F.col("c0")) & ((F.col("ord") < F.col("c1")) | ((F.col("ord") == F.col("c1")) & (F.col("rid") < F.col("c2")))))
         rows = rows.withColumn("node", F.when(F.col("dim").isNull() | low, F.col("node") * 2).otherwise(F.col("node") * 2 + 1).cast("int")).drop("dim", "c0", "c1", "c2", "x")
@@ -84,7 +84,9 @@ def kd_shard(
         nodes = below
         if level % 4 == 3:
             rows = scratch.put(rows)
-    leaf = F.broadcast(spark.createDataFrame([(n, first) for n, (first, _) in nodes.items()], "node int, shard int"))
+    if not total:
+        return t.select(F.col("id").alias(id_col), F.col("w").alias("size"), F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    leaf = F.broadcast(literal_rows(spark, [(n, first) for n, (first, _) in nodes.items()], "node int, shard int"))
     rows = rows.join(leaf, "node")
     blocks = max(1, math.ceil(t.count() / leaves / BLOCK_ROWS))
     rows = scratch.put(rows.select("id", "ord", "rid", "w", "crc", "shard", F.pmod(F.xxhash64("ord", "rid"), F.lit(blocks)).cast("int").alias("block")))
@@ -136,7 +138,7 @@ def _cuts(spark: SparkSession, rows: DataFrame, splits: dict, found: dict, n: in
         for s in live:
             s["take"] = min(bits, s["left"])
         to_signed = lambda u: u - 2**64 if u >= 2**63 else u
-        at = spark.createDataFrame(
+        at = literal_rows(spark, 
             [(s["node"], s["dim"], s["part"], *s["fixed"][:2], to_signed(s["prefix"]) if s["left"] < 64 else 0, s["left"], s["left"] - s["take"], (1 << s["take"]) - 1) for s in live],
             "node int, dim int, part int, f0 long, f1 long, prefix long, above int, shift int, mask long",
         )

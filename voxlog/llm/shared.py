@@ -55,6 +55,15 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
+    """A few rows of integers as a table in the plan itself; a list given to createDataFrame goes through Python workers."""
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+    casts = ", ".join(f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", "))
+    low = -(2**63)
+    values = ", ".join("(" + ", ".join(f"{v}L" if v != low else f"(-{2**63 - 1}L - 1L)" for v in r) + ")" for r in rows)
+    return spark.sql(f"select {casts} from values {values} as t({names})")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node long, root long) for every node of ``edges`` (a long, b long); root is the smallest node reachable.
 
