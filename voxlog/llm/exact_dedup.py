@@ -41,7 +41,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = d.count()
     maybe = d.stat.freqItems(["h"], support).first()[0] if rows else []
     heavy = d.where(F.col("h").isin(list(maybe))).groupBy("sha").agg(*best).where(F.col("n") >= max(2, rows * support))
-    heavy = F.broadcast(spark.createDataFrame(heavy.collect(), heavy.schema))
+    heavy = F.broadcast(scratch.put(heavy))
     rest = d.join(heavy.select("sha"), "sha", "left_anti")
     found = d.join(heavy, "sha").unionByName(rest.join(rest.groupBy("sha").agg(*best), "sha"))
     return found.select(
