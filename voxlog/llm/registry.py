@@ -6,6 +6,7 @@ from .ann import op2_kmeans_tree_search
 from .chat import OP9_SQL, op9_chat_formatting
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op7_html_extraction
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .simhash import op6_simhash_near_dedup
 from .packing import op4_best_fit_packing
 from .sharding import op1_kd_sharding
@@ -20,8 +21,9 @@ def queries() -> dict:
         "op7_html_extraction": op7_html_extraction,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
