@@ -9,6 +9,7 @@ from .html_text import op7_html_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .simhash import op6_simhash_near_dedup
 from .packing import op4_best_fit_packing
+from .pieces import op3_sentencepiece_sampling
 from .sharding import op1_kd_sharding
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_kd_sharding": op1_kd_sharding,
         "op2_kmeans_tree_search": op2_kmeans_tree_search,
+        "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
