@@ -6,6 +6,7 @@ from .ann import op2_kmeans_tree_search
 from .chat import OP9_SQL, op9_chat_formatting
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op7_html_extraction
+from .kneser_ney import op5_quality_classifier
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .simhash import op6_simhash_near_dedup
 from .packing import op4_best_fit_packing
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_kmeans_tree_search": op2_kmeans_tree_search,
         "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_exact_dedup": op8_exact_dedup,
