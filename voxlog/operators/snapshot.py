@@ -46,8 +46,10 @@ def get(log: DataFrame, *key: int) -> DataFrame:
 
 def value_size(log: DataFrame, *key: int) -> DataFrame:
     """The length alone; with a stored raw_len the value isn't read."""
-    size = F.col("raw_len") if "raw_len" in log.columns else F.octet_length("value")
-    return get(log.withColumn("raw_len", size), *key).select(*KEY, F.col("raw_len").cast("long").alias("raw_len")) if "raw_len" not in log.columns else latest(log.where(key_is(*key)).drop("value")).where("not is_delete").select(*KEY, "raw_len")
+    here = log.where(key_is(*key))
+    if "raw_len" in log.columns:
+        return latest(here.drop("value")).where("not is_delete").select(*KEY, F.col("raw_len").cast("long").alias("raw_len"))
+    return live(here).select(*KEY, F.octet_length("value").cast("long").alias("raw_len"))
 
 
 def get_many(log: DataFrame, requests: DataFrame) -> DataFrame:
