@@ -249,6 +249,16 @@ class World:
             self._compact_stale(touched)
         return version
 
+    def ingest(self, log: DataFrame) -> int:
+        """Appends a whole log (the stored columns, with batch ids in order) to regions that have none yet."""
+        self._open()
+        seen, state = self.commits.state()
+        added = self._put("log", log, REGION, self.options.compression)
+        if held := set(added) & set(state):
+            raise InvalidArgument(f"region {min(held)} has a log already")
+        back = self._read("log", [f for fs in added.values() for f in fs], LOG_SCHEMA).groupBy(*REGION).agg(F.max("batch_id").alias("last")).collect()
+        return self.commits.add(seen, {n: {"add": added[n], "last": r["last"]} for r in back if (n := _name(r["dimension"], r["region_x"], r["region_z"]))})
+
     def _put(self, table: str, df: DataFrame, by: tuple[str, ...], codec: str) -> dict[str, list[str]]:
         """Writes files below ``table`` and gives them by region name. Large partitions are split, small ones are one file."""
         stage = f"_staging/{uuid.uuid4().hex}"
