@@ -66,7 +66,7 @@ def live_updates(stream: DataFrame) -> DataFrame:
 
 def changes_per_window(stream: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Changes by kind and event-time window of the ``events`` stream, with a watermark."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("changes"), F.sum("value").alias("value"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("changes"), F.sum("value").alias("value"))
 
 
 def upsert(view: DataFrame, batch: DataFrame) -> DataFrame:
