@@ -27,7 +27,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The row with the largest
-    id stays; a null id ranks below all others, and of rows that repeat the largest id exactly one stays. Other
+    id stays; a null id ranks as the smallest long, and of rows that repeat the largest id exactly one stays. Other
     columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -37,7 +37,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             "id", "sha", F.xxhash64("sha").alias("h"), F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID)).alias("ord"), F.monotonically_increasing_id().alias("rid")
         )
     )
-    best = (F.count("*").alias("n"), F.max_by("rid", "ord").alias("best"), F.max("ord").alias("best_ord"))
+    best = (F.count("*").alias("n"), F.max_by("rid", "ord").alias("best"), F.max("id").alias("keep_id"))
     rows = d.count()
     maybe = d.stat.freqItems(["h"], support).first()[0] if rows else []
     heavy = d.where(F.col("h").isin(list(maybe))).groupBy("sha").agg(*best).where(F.col("n") >= max(2, rows * support))
@@ -46,7 +46,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     found = d.join(heavy, "sha").unionByName(rest.join(rest.groupBy("sha").agg(*best), "sha"))
     return found.select(
         F.col("id").alias(id_col),
-        F.when(F.col("best_ord") != _NO_ID, F.col("best_ord")).alias("keep_id"),
+        "keep_id",
         F.col("n").cast("long").alias("group_size"),
         (F.col("rid") == F.col("best")).alias("kept"),
         F.col("sha").alias("text_sha256"),
