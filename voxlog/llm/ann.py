@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 Vectors get one more component, ``sqrt(M^2 - |x|^2)`` with M the largest norm, so that the largest inner product is the
-smallest distance. The tree is fitted on a bounded sample (``SAMPLE`` distinct vectors, so at most ``SAMPLE / 8`` leaves:
+smallest distance. The tree is fitted on a bounded sample (``SAMPLE`` distinct vectors, so at most ``SAMPLE`` nodes:
 its size is bounded) and indexes every vector. A query walks the tree with a priority queue of centroid distances; how
 many leaves it visits is widened until the recall of calibration queries, held against all vectors, reaches ``RECALL``.
 
@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from .shared import Scratch, table
 
 K, RECALL = 20, 0.97
-#: Vectors the tree is fitted on; queries that calibrate it; vectors a leaf should hold; vectors held by a task at once.
-SAMPLE, CALIBRATION, LEAF, BLOCK = 32_768, 128, 128, 16_384
+#: Vectors the tree is fitted on; queries that calibrate it; vectors, and queries with what they found, held by a task at once.
+SAMPLE, CALIBRATION, BLOCK, HELD = 32_768, 128, 16_384, 100_000
 BRANCH, ROUNDS, SEED = 8, 8, 20
 
 
@@ -111,8 +111,20 @@ def _rows(found: list[tuple[int, tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBa
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, block, kind, id, vector) come sorted: a block's vectors (kind 0), then the queries that visit it."""
+    """Rows (leaf, block, kind, id, vector) come sorted: a block's vectors (kind 0), then the queries that visit it.
+
+    What a query found in the task's blocks is merged before it is passed on.
+    """
     here, ids, vectors, made = None, [], [], None
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def merge(q: int, near: np.ndarray, scores: np.ndarray) -> None:
+        if q in found:
+            near, scores = np.concatenate((found[q][0], near)), np.concatenate((found[q][1], scores))
+            order = np.lexsort((near, -scores))[:k]
+            near, scores = near[order], scores[order]
+        found[q] = near, scores
+
     for b in batches:
         key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else []
@@ -126,8 +138,14 @@ def _join_blocks(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterato
                 vectors.append(x)
             elif vectors:
                 made = made or (np.concatenate(vectors), np.concatenate(ids))
-                for a in range(0, len(own), 512):
-                    yield _rows(list(zip(own[a : a + 512].tolist(), _best(x[a : a + 512], *made, k), strict=True)))
+                for a in range(0, len(own), 64):
+                    for q, (near, scores) in zip(own[a : a + 64].tolist(), _best(x[a : a + 64], *made, k), strict=True):
+                        merge(q, near, scores)
+                if len(found) >= HELD:
+                    yield _rows(list(found.items()))
+                    found.clear()
+    if found:
+        yield _rows(list(found.items()))
 
 
 def _top(df: DataFrame, by: str, k: int, id_col: str) -> DataFrame:
@@ -167,7 +185,7 @@ def nearest(
     n, most = distinct.agg(F.count("*"), F.max(norm)).first()
     lift = lambda x: np.concatenate((x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]), 1)
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vector").collect()], np.float64)
-    tree = Tree(lift(sample), max(8, LEAF * len(sample) // n))
+    tree = Tree(lift(sample), max(8, math.ceil(4 * len(sample) / math.sqrt(n))))  # about as many leaves as vectors in one
     shared = spark.sparkContext.broadcast((tree, most))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +217,7 @@ def nearest(
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, _ = shared.value
-        for b in batches:
+        for b in (whole.slice(a, 32) for whole in batches for a in range(0, whole.num_rows, 32)):
             row, leaf = [], []
             for i, q in enumerate(_matrix(b.column(1), dim)):
                 seen = 0
