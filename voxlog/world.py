@@ -75,6 +75,7 @@ class World:
         self._pool: ThreadPoolExecutor | None = None
         self._jobs: dict[tuple[int, int, int], Future] = {}
         self._skipped = 0
+        self._counted: dict[str, int] = {}
         self.closed = False
 
     def _check_format(self, create: bool) -> None:
@@ -173,8 +174,13 @@ class World:
         return counted.join(self.spark.createDataFrame(rows, "dimension int, region_x int, region_z int, segments int"), list(REGION)) if rows else counted.withColumn("segments", F.lit(0))
 
     def counters(self) -> dict:
-        row = maintenance.write_stats(self.log()).first().asDict()
-        return row | {"skipped": self._skipped}
+        """What was written since the world began, or since reset_counters(), and the no-op changes skipped by this writer."""
+        row = maintenance.write_stats(self.log()).first().asDict() | {"skipped": self._skipped}
+        return {k: v - self._counted.get(k, 0) for k, v in row.items()}
+
+    def reset_counters(self) -> None:
+        self._counted = {}
+        self._counted = self.counters()
 
     # writes
 
@@ -304,10 +310,11 @@ class World:
         _, state = self.aux_commits.state()
         return self._read("aux", [f for s in state.values() for f in s["files"]], AUX_SCHEMA)
 
-    def aux_write(self, rows: DataFrame) -> None:
-        """rows: key, value (null deletes). Keys that are chunk records go to the record log."""
-        chunk, other = aux_ops.route(rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
-        if not chunk.isEmpty():
+    def aux_write(self, rows: DataFrame, routed: bool = True) -> None:
+        """rows: key, value (null deletes). Keys that are chunk records go to the record log, unless not ``routed``."""
+        rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+        chunk, other = aux_ops.route(rows) if routed else (None, rows)
+        if chunk is not None and not chunk.isEmpty():
             self.write(as_batches(chunk))
         if other.isEmpty():
             return
