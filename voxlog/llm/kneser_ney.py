@@ -26,6 +26,8 @@ ORDER, BITS = 4, 16
 #: Of trusted documents, by language, the share of perplexities up to which a document is kept, and the slack beyond it.
 #: The mean over few characters varies more, so a text of n characters is given exp(SHORT / sqrt(n)) times the limit.
 QUANTILE, SLACK, SHORT = 0.99, 1.05, 1.0
+#: One in so many trusted documents isn't trained on: unseen text is what the limits must hold for.
+HELD_OUT = 4
 #: Characters handled at a time; ids that are broadcast at most; blocks of a table that isn't read from files.
 CHARS_AT_ONCE, BROADCAST_IDS, BLOCKS = 1 << 21, 2_000_000, 64
 _MASK = (1 << BITS) - 1
@@ -60,7 +62,7 @@ def _chunks(b: pa.RecordBatch, chars: pa.Array) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns block, trusted, text -> block, gram, its count in trusted text."""
+    """Columns block, trained, text -> block, gram, its count in text that is trained on."""
     import pyarrow.compute as pc
 
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -161,27 +163,30 @@ def _probabilities(grams: DataFrame, counts: DataFrame, scratch: Scratch) -> Dat
 
 
 def with_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
-    """Joins ids (a narrow table with the column ``id_col``); broadcast while they are few, a shuffle beyond."""
+    """Joins a narrow written table by ``id_col``; broadcast while its rows are few, a shuffle beyond."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how)
 
 
-def perplexities(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trains: Column | None = None) -> DataFrame:
     """One row per row of ``df``: id, lang, trusted, chars, perplexity (per character; null for an empty or null text).
 
-    ``trusted_ids`` has one column of ids, named as ``id_col``. With no trusted text every character is equally likely.
+    ``trusted_ids`` has one column of ids, named as ``id_col``; of these, where ``trains`` is given, the model is trained
+    on those for which it holds. With no trusted text every character is equally likely.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "kneser-ney")
     block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.when(F.input_file_name() == "", F.pmod(F.xxhash64(id_col), F.lit(BLOCKS))))
     rows = df.select(block.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    ids = scratch.put(trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True)))
-    rows = with_ids(rows, "id", ids, "left").select("block", F.coalesce("good", F.lit(False)).alias("trusted"), "text", "id", "lang")
-    counted = scratch.put(rows.select("block", "trusted", "text").mapInArrow(_counted, "block long, gram long, n long"))
+    trained = F.lit(True) if trains is None else trains
+    ids = trusted_ids.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    ids = scratch.put(ids.select(F.col(id_col).alias("id"), trained.alias("trained")))
+    rows = with_ids(rows, "id", ids, "left").select("block", F.col("trained").isNotNull().alias("trusted"), "text", "id", "lang", F.coalesce("trained", F.lit(False)).alias("trained"))
+    counted = scratch.put(rows.select("block", "trained", "text").mapInArrow(_counted, "block long, gram long, n long"))
     counts = scratch.put(counted.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
     p = _probabilities(scratch.put(counted.select("gram").distinct()), counts, scratch)
     known = counted.select("block", "gram").distinct().join(p, "gram")
     known = known.select("block", F.lit(0).alias("kind"), "gram", F.log("p").alias("logp"), F.lit(None).cast("binary").alias("parcel"))
-    parcels = rows.mapInArrow(_parcels, "block long, parcel binary").select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "parcel")
+    parcels = rows.select("block", "trusted", "text", "id", "lang").mapInArrow(_parcels, "block long, parcel binary").select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "parcel")
     met = known.unionByName(parcels).repartition("block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(_scored, "id long, lang string, trusted boolean, chars long, perplexity double").withColumnRenamed("id", id_col)
 
@@ -189,20 +194,23 @@ def perplexities(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id",
 def quality(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """One row per row of ``df``: id, lang, perplexity, threshold, kept.
 
-    A language's threshold is the quantile of its trusted documents' perplexity times ``slack``, more for short texts (see
-    SHORT); a language without
-    trusted documents, and a null one, takes that of all languages. Texts without characters are not kept. Without any
-    trusted text nothing else is rejected. Repeated rows are judged each; other columns are ignored; an empty table
-    gives an empty result.
+    One in HELD_OUT trusted documents only serves to set the limits. A language's threshold is the quantile of their
+    perplexities, or the median times the quantile of all languages' perplexities over their medians if that is larger
+    (few documents say little about a quantile), times ``slack``, more for short texts (see SHORT). A language without such
+    documents, and a null one, takes the quantile of all. Texts without characters are not kept. Without any trusted text
+    nothing else is rejected. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    scores = scratch.put(perplexities(df, trusted_ids, id_col, text_col, lang_col))
-    cut = (F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold")
-    trusted = scores.where("trusted and perplexity is not null")
-    by_lang = trusted.where("lang is not null").groupBy("lang").agg(cut)
-    overall = trusted.agg(cut).first()[0]
-    judged = scores.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
-    judged = judged.withColumn("threshold", F.col("threshold") * F.exp(SHORT / F.sqrt(F.greatest("chars", F.lit(1)))))
+    ids = trusted_ids.select(F.col(id_col).cast("long").alias(id_col)).distinct()
+    held_out = F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0
+    scores = scratch.put(perplexities(df, ids, id_col, text_col, lang_col, ~held_out))
+    seen = scores.where("trusted and perplexity is not null").where(held_out)
+    typical = scratch.put(seen.where("lang is not null").groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("median"), F.percentile_approx("perplexity", quantile, 10_000).alias("high")))
+    wide = with_ids(seen, "lang", typical, "inner").agg(F.percentile_approx(F.col("perplexity") / F.col("median"), quantile, 10_000)).first()[0]
+    overall = seen.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    judged = with_ids(scores, "lang", typical, "left")
+    limit = F.coalesce(F.greatest("high", F.col("median") * F.lit(wide)), F.lit(overall)).cast("double")
+    judged = judged.withColumn("threshold", limit * slack * F.exp(SHORT / F.sqrt(F.greatest("chars", F.lit(1)))))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("perplexity").isNotNull())
     return judged.select(id_col, "lang", "perplexity", "threshold", kept.alias("kept"))
 
