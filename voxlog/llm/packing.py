@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table, text_of
-from .tokens import Encoder
+from .tokens import encoder
 
 LENGTH, OPEN, END_ID = 1024, 4096, 2
 #: Tokens that a packing task should place: a task leaves a few sequences part-filled.
@@ -57,11 +57,11 @@ class BestFit:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int, end: bytes, path: str | None) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    ids_of = encoder(path).ids
     for b in batches:
         rows: list[list] = [[] for _ in range(5)]
         for i, text in enumerate(b.column(1)):
-            ids = encoder.ids(text.as_py()) + end
+            ids = ids_of(text.as_py()) + end
             total, piece, start = len(ids) // 4, 0, 0
             stop = total % size or size
             while start < total:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import lru_cache
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -66,3 +67,9 @@ class Encoder:
         except KeyError:  # white space beyond single separators
             return self.encode(text)
         return b"".join(out[1:])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None = None) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(path)
