@@ -70,6 +70,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
     lines = scratch.put(lines.join(merged, ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t")))
     once = lines.groupBy("leaf", "t", "id", "th").agg(F.lit(1).alias("one"))
     recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th")).where(F.col("docs") >= documents)
+    recurring = scratch.put(recurring)  # joined from a written table, so that a template that most documents hold can be split
     gone = lines.join(recurring, ["leaf", "t"]).where((F.col("id") != F.col("first")) | (F.col("th") != F.col("first_th")))
     gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"id": "_id", "th": "_th"})
     whole = df.withColumns({"_id": key[0], "_th": key[1]}).join(gone, ["_id", "_th"], "left")
