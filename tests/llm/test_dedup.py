@@ -128,17 +128,17 @@ def test_components(spark):
 def test_line_dedup(docs):
     long = "this passage stands in several documents and differs in one number only:"
     rows = [
-        (1, f"first own line here\n{long} 17\n\nlast"),
+        (1, f"first own line here\n{long} 17\n\nlast one"),
         (2, f"second own line here\n{long} 18\nthey said that anna knew the other people in the room\nsame same\nsame same"),
         (3, f"{long} 19\nthird own line\nthey said that berta knew the other people in the room"),
         (4, "the whole text is somewhere else\nfirst own line here"),
-        (5, "first own line here"),
+        (5, "first own line here\nlast one"),
     ]
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(rows)).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["n_lines"] == 4 and got[1]["n_dropped"] == 0
     assert got[2]["text"] == "second own line here\nthey said that anna knew the other people in the room\nsame same\nsame same"
     assert got[3]["text"] == "third own line" and got[3]["n_dropped"] == 2
-    assert got[4]["text"] == "the whole text is somewhere else" and got[5]["text"] == ""
+    assert got[4]["text"] == "the whole text is somewhere else" and got[5]["text"] == "last one"
 
 
 def test_line_dedup_of_odd_rows(docs):

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, table, text_of
 
-#: Leading tokens in the tree; least documents of a recurring template.
-DEPTH, DOCUMENTS = 3, 2
+#: Leading tokens in the tree; least documents of a recurring template; tokens below which a line is too short to tell.
+DEPTH, DOCUMENTS, TOKENS = 3, 2, 3
 #: Least fixed tokens of a generalised template, least share of its tokens, and least share of a leaf's lines, and
 #: lines, that fix a token.
 FIXED_TOKENS, FIXED_SHARE, LINE_SHARE, LINES = 5, 0.7, 0.25, 2
@@ -31,11 +31,11 @@ def masked(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id, th, pos, line (masked), n, leaf, h for every line that isn't blank."""
+    """id, th, pos, line (masked), n, leaf, h for every line that isn't blank or too short."""
     lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     lines = lines.select("id", "th", "pos", masked(F.col("line")).alias("line"))
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return lines.withColumn("n", tokens).select("id", "th", "pos", "line", "n", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("h"))
+    return lines.withColumn("n", tokens).where(F.col("n") >= TOKENS).select("id", "th", "pos", "line", "n", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("h"))
 
 
 def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -58,7 +58,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFra
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS) -> DataFrame:
     """``df`` with the text cut to the lines that stay, and n_lines, n_dropped added.
 
-    Lines are what newlines separate; blank ones are never dropped. A line that recurs only within its document stays.
+    Lines are what newlines separate; blank ones and those of one or two tokens, which recur by chance, are never dropped. A line that recurs only within its document stays.
     Rows that repeat an id and a text are one document and are cut alike; a null id ranks before all others. A null text
     stays null; a text may become empty. Other columns pass through, an empty table gives an empty result.
     """
@@ -91,7 +91,7 @@ with l as (
 m as (
   select doc_id, pos, list_transform(string_split(line, ' '), lambda x: case when regexp_matches(x, '[0-9@]') then '<*>' else x end) as tokens
   from l where trim(line) <> ''),
-k as (select doc_id, pos, tokens, struct_pack(n := len(tokens), lead := list_slice(tokens, 1, 3)) as leaf from m),
+k as (select doc_id, pos, tokens, struct_pack(n := len(tokens), lead := list_slice(tokens, 1, 3)) as leaf from m where len(tokens) >= 3),
 d as (select distinct leaf, tokens from k where len(tokens) >= 5),
 e as (select leaf, tokens, generate_subscripts(tokens, 1) as i, unnest(tokens) as token from (
     select *, count(*) over (partition by leaf) as v from d) where v > 1),
