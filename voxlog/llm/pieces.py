@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .shared import table, text_of
 
 SPACE = "▁"
-#: Words whose lattices a worker keeps; words sampled at a time; documents in a batch that is passed on.
-CACHED, WORDS_AT_ONCE, DOCUMENTS_AT_ONCE = 200_000, 1 << 18, 512
+#: Words whose lattices a worker keeps; words sampled at a time; documents in a batch that is passed on; lattices made at a time.
+CACHED, WORDS_AT_ONCE, DOCUMENTS_AT_ONCE, MADE_AT_ONCE = 400_000, 1 << 15, 512, 1024
 #: A constant for each character of a piece keeps the filtered sums near 1; it is the same for every segmentation.
 _SCALE = 60.0
 _WORDS = re.compile(" *[^ ]+| +")
@@ -61,12 +62,16 @@ class Lattices:
 
     def _table(self) -> None:
         """Hashes of all prefixes of pieces, sorted, each with its piece (or -1), the weight and whether more follows."""
-        found = {p[:k]: False for p in self.pieces for k in range(1, len(p) + 1)}
+        made = {"": 0}
+        more = set()
         for p in self.pieces:
-            for k in range(1, len(p)):
-                found[p[:k]] = True
-        rows = [(_hash([ord(c) for c in p]), *self.pieces.get(p, (-1, 0.0)), more) for p, more in found.items()]
-        rows += [(_hash([_BYTE + b]), i, 1.0, False) for b, i in self.byte_ids.items()]
+            for k in range(1, len(p) + 1):
+                if p[:k] not in made:
+                    made[p[:k]] = _hash(made[p[: k - 1]], ord(p[k - 1]))
+                    more.add(p[: k - 1])
+        del made[""]
+        rows = [(h, *self.pieces.get(p, (-1, 0.0)), p in more) for p, h in made.items()]
+        rows += [(_hash(0, _BYTE + b), i, 1.0, False) for b, i in self.byte_ids.items()]
         rows.sort()
         hashes, ids, weights, more = zip(*rows, strict=True)
         self.hashes = np.array(hashes, np.uint64)
@@ -79,8 +84,9 @@ class Lattices:
     def _empty(self) -> None:
         self.ends: dict[str, int] = {}
         self.nodes = self.arcs = 0
-        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int16)  # by node: its first arc, its arcs
-        self.cum, self.back, self.piece = np.empty(1 << 18), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)  # by arc
+        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int8)  # by node: its first arc, its arcs
+        # by arc: the share of it and those before it at its node, the nodes it leads back, its piece
+        self.cum, self.back, self.piece = np.empty(1 << 18, np.float32), np.empty(1 << 18, np.int8), np.empty(1 << 18, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The row of each hash, or -1."""
@@ -110,62 +116,54 @@ class Lattices:
 
     def add(self, words: list[str]) -> None:
         """Makes the lattices of words that aren't known yet; words may lead with spaces."""
+        for i in range(0, len(words), MADE_AT_ONCE):
+            self._add(words[i : i + MADE_AT_ONCE])
+
+    def _add(self, words: list[str]) -> None:
         s, n = self._symbols(words)
         base = np.cumsum(n + 1) - (n + 1)  # a word of n symbols has n + 1 nodes
+        total = int((n + 1).sum())
         owner = np.repeat(np.arange(len(words)), n)
-        start = np.cumsum(n) - n
-        place = np.arange(len(s)) - start[owner]
-        left = n[owner] - place
-        active, h, found = np.arange(len(s)), np.zeros(len(s), np.uint64), []
+        node = np.arange(len(s)) + owner  # at which a symbol begins
+        left = (base + n)[owner] - node
+        rows = np.full((total, self.longest), -1, np.int32)  # by node and length: the piece that ends there
+        active, h, most = np.arange(len(s)), np.zeros(len(s), np.uint64), 0
         for k in range(1, self.longest + 1):
             h = _mix((h + s[active + k - 1].astype(np.uint64)) * _GOLD)
             row = self._find(h)
-            is_piece = (row >= 0) & (self.ids[row] >= 0)
-            found.append((active[is_piece], np.full(int(is_piece.sum()), k), row[is_piece]))
-            on = (row >= 0) & self.more[row] & (left[active] > k)
+            hit = np.flatnonzero(row >= 0)
+            active, h, row = active[hit], h[hit], row[hit]
+            piece = np.flatnonzero(self.ids[row] >= 0)
+            rows[node[active[piece]] + k, k - 1] = row[piece]
+            most = k if len(piece) else most
+            on = np.flatnonzero(self.more[row] & (left[active] > k))
             active, h = active[on], h[on]
             if not len(active):
                 break
-        begin, k, row = (np.concatenate(x) for x in zip(*found, strict=True))
-        of, to = owner[begin], place[begin] + k
-        end = base[of] + to
-        order = np.lexsort((end, to))
-        of, to, end, begin, row = of[order], to[order], end[order], begin[order], row[order]
-        origin, w = base[of] + place[begin], self.weights[row]
-        total = int((n + 1).sum())
-        alpha = np.zeros(total)
-        alpha[base] = 1.0
-        groups = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1]))) if len(end) else np.empty(0, np.int64)
-        steps = np.searchsorted(to[groups], np.arange(1, int(n.max(initial=0)) + 2))
-        log_scale = len(words) and int(n.max(initial=0)) > _LONG
-        p = np.empty(len(end))
-        scale = np.zeros(total) if log_scale else None
-        for i, j in zip(steps, steps[1:]):
-            a, b = groups[i], groups[j] if j < len(groups) else len(end)
-            if i == j:
-                continue
-            p[a:b] = alpha[origin[a:b]] * w[a:b]
-            if log_scale:  # long words: sums are kept in a window's common scale
-                top = end[groups[i:j]]
-                ref = scale[top - 1]
-                p[a:b] *= np.exp(scale[origin[a:b]] - np.repeat(ref, np.diff(np.append(groups[i:j], b))))
-                sums = np.add.reduceat(p[a:b], groups[i:j] - a)
-                scale[top] = ref + np.log(sums)
-                alpha[top] = 1.0
-            else:
-                alpha[end[groups[i:j]]] = np.add.reduceat(p[a:b], groups[i:j] - a)
-        order = np.lexsort((-p, end))
-        end, origin, p, row = end[order], origin[order], p[order], row[order]
+        rows = rows[:, :most]
+        w = np.where(rows >= 0, self.weights[rows], 0.0)
+        longest = int(n.max(initial=0))
+        logs = longest > _LONG
+        alpha = np.zeros(total)  # of long words: its logarithm
+        alpha[base] = 0.0 if logs else 1.0
+        for step in range(1, longest + 1):
+            at = base[n >= step] + step
+            k = min(step, most)
+            before = alpha[at[:, None] - np.arange(1, k + 1)]
+            p = w[at, :k] * (np.exp(before - before[:, :1]) if logs else before)
+            sums = p.sum(1)
+            alpha[at] = before[:, 0] + np.log(sums) if logs else sums
+            w[at, :k] = p / sums[:, None]
+        end, k = np.nonzero(rows >= 0)
         count = np.bincount(end, minlength=total)
+        cum = np.cumsum(w, 1)[end, k] if most else np.empty(0)
         first = np.cumsum(count) - count
-        run = np.cumsum(p / np.add.reduceat(p, first[count > 0])[np.repeat(np.arange((count > 0).sum()), count[count > 0])]) if len(p) else p
-        cum = run - np.repeat(np.concatenate(([0.0], run))[first], count)
         cum[(first + count - 1)[count > 0]] = 2.0  # the last arc takes what rounding leaves
         self.first = _append(self.first, self.nodes, first + self.arcs)
         self.count = _append(self.count, self.nodes, count)
         self.cum = _append(self.cum, self.arcs, cum)
-        self.back = _append(self.back, self.arcs, origin + self.nodes)
-        self.piece = _append(self.piece, self.arcs, self.ids[row])
+        self.back = _append(self.back, self.arcs, k + 1)
+        self.piece = _append(self.piece, self.arcs, self.ids[rows[end, k]])
         self.ends.update(zip(words, (base + n + self.nodes).tolist(), strict=True))
         self.nodes += total
         self.arcs += len(end)
@@ -208,7 +206,7 @@ class Lattices:
                 many = many[cum[arc[many]] <= u[many]]
             taken.append((alive, piece[arc]))
             lengths[alive] += 1
-            at = back[arc]
+            at = at - back[arc]
             live = count[at] > 0
             alive, at, step = alive[live], at[live], step + 1
         ids = np.empty(int(lengths.sum()), np.int32)
@@ -219,23 +217,24 @@ class Lattices:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _MIX1
-        x = (x ^ (x >> np.uint64(27))) * _MIX2
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(symbols: list[int]) -> int:
-    h = np.zeros(1, np.uint64)
-    for c in symbols:
-        h = _mix((h + np.uint64(c)) * _GOLD)
-    return int(h[0])
+def _hash(h: int, symbol: int) -> int:
+    """What _mix makes of one number, for the hash of a prefix and the next symbol."""
+    all_bits = (1 << 64) - 1
+    x = (h + symbol) * int(_GOLD) & all_bits
+    x = (x ^ (x >> 30)) * int(_MIX1) & all_bits
+    x = (x ^ (x >> 27)) * int(_MIX2) & all_bits
+    return x ^ (x >> 31)
 
 
 def _append(a: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     if n + len(more) > len(a):
         a = np.concatenate((a[:n], np.empty(max(len(more), n), a.dtype)))
-    a[n : n + len(more)] = more
+    a[n : n + len(more)] = more.astype(a.dtype)
     return a
 
 
@@ -269,12 +268,23 @@ def encode_texts(lattices: Lattices, texts: list[str], row_keys: list[int]) -> t
     return np.concatenate(out) if out else np.empty(0, np.int32), lengths
 
 
+@lru_cache(maxsize=1)
+def _lattices(path: str | None, alpha: float) -> Lattices:
+    """A worker's own, kept from task to task: what is cached doesn't change what is sampled."""
+    return Lattices(path, alpha)
+
+
+@lru_cache(maxsize=1)
+def _surfaces(path: str | None) -> list[bytes]:
+    return Lattices(path).surface
+
+
 def row_key(value: object, seed: int) -> int:
     return xxhash.xxh64_intdigest(repr(value).encode(), seed)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str | None, alpha: float, seed: int) -> Iterator[pa.RecordBatch]:
-    lattices = Lattices(path, alpha)
+    lattices = _lattices(path, alpha)
     for whole in batches:
         for a in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
             b = whole.slice(a, DOCUMENTS_AT_ONCE)
@@ -296,7 +306,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    surface = Lattices(path).surface.__getitem__
+    surface = _surfaces(path).__getitem__
     for whole in batches:
         for a in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
             b = whole.slice(a, DOCUMENTS_AT_ONCE)
