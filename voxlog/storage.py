@@ -113,13 +113,14 @@ class Commits:
         regions = dict(regions)
         for n in range(version + 1, last + 1):
             for region, change in json.loads(self.files.read(self._number(n)))["regions"].items():
-                old = regions.get(region, {"files": [], "last": 0, "base": 0, "generation": 1})
+                old = regions.get(region, {"files": [], "last": 0, "base": 0, "generation": 1, "keys": 0})
                 gone = set(change.get("remove", []))
                 regions[region] = {
                     "files": [f for f in old["files"] if f not in gone] + change.get("add", []),
                     "last": max(old["last"], change.get("last", 0)),
                     "base": change.get("base", old["base"]),
                     "generation": old["generation"] + (1 if gone else 0),
+                    "keys": old["keys"] + change.get("keys", 0),
                     "touched": n,
                 }
         self._known = last, regions

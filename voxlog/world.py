@@ -219,38 +219,44 @@ class World:
         rows = with_region(batch)
         rows = rows.withColumn("given", F.col("batch_id").cast("long") if "batch_id" in rows.columns else F.lit(0).cast("long")).drop("batch_id")
         rows = rows.withColumns({"value": F.col("value").cast("binary"), "batch": F.col("batch").cast("int"), "ord": F.col("ord").cast("int")}).persist()
+        kept, ids = rows, None
         try:
-            per = changes.validate_batches(rows.withColumn("batch_id", F.struct(*REGION, "batch")))
-            if bad := per.where("problem is not null").first():
-                raise _PROBLEMS[bad["problem"]](f"batch {bad['batch_id']['batch']}")
-            touched = [tuple(r) for r in rows.select(*REGION).distinct().collect()]
+            # one row for each region: what it is refused for, and its changes
+            per = changes.validate_batches(rows.withColumn("batch_id", F.struct(*REGION, "batch"))).withColumnRenamed("records", "changes")
+            facts = per.groupBy(*[F.col(f"batch_id.{c}").alias(c) for c in REGION]).agg(F.max("problem").alias("problem"), F.sum("changes").alias("changes"), F.count("*").alias("batches")).collect()
+            if bad := next((f for f in facts if f["problem"]), None):
+                raise _PROBLEMS[bad["problem"]](f"region {tuple(bad[:3])}")
+            touched = [tuple(f[:3]) for f in facts]
             if not touched:
                 return None
             known = [(*r, state.get(_name(*r), {}).get("last", 0)) for r in touched]
             last = self.spark.createDataFrame(known, "dimension int, region_x int, region_z int, last long")
             now = snapshot.live(self._read("log", self._log_files(state, touched), LOG_SCHEMA)).select(*FULL_KEY, "value")
             if self.options.skip_unchanged:
-                before = rows.count()
                 w = Window.partitionBy(*REGION)
                 single = rows.withColumn("_b", F.min("batch").over(w) == F.max("batch").over(w))
                 alone, groups = single.where("_b").drop("_b"), single.where("not _b").drop("_b")
-                rows = changes.skip_unchanged(alone, now).unionByName(groups)
-                self._skipped += before - rows.count()
-                touched = [tuple(r) for r in rows.select(*REGION).distinct().collect()]
-                if not touched:
-                    return None
-            ids = _assigned(rows.groupBy(*REGION, "batch").agg(F.max("given").alias("given")), last)
-            if bad := ids.where("given <> 0 and given <= before").first():
+                kept = changes.skip_unchanged(alone, now).unionByName(groups).persist()
+            ids = _assigned(kept.groupBy(*REGION, "batch").agg(F.max("given").alias("given"), F.count("*").alias("changes")), last).persist()
+            ends = ids.groupBy(*REGION).agg(F.max("batch_id").alias("last"), F.sum("changes").alias("changes"), F.max(F.when((F.col("given") != 0) & (F.col("given") <= F.col("before")), F.struct("given", "before"))).alias("bad")).collect()
+            if bad := next((e["bad"] for e in ends if e["bad"]), None):
                 raise BatchOrder(f"{bad['given']} after {bad['before']}")
-            new = rows.join(ids.select(*REGION, "batch", "batch_id"), [*REGION, "batch"])
-            if full := changes.admitted(now, new, self.options.max_keys).where("not admitted").first():
-                raise IndexFull(f"{full['keys_after']} keys in region {tuple(full[c] for c in REGION)}")
+            self._skipped += sum(f["changes"] for f in facts) - sum(e["changes"] for e in ends)
+            touched = [tuple(e[:3]) for e in ends]
+            if not touched:
+                return None
+            new = kept.join(ids.select(*REGION, "batch", "batch_id"), [*REGION, "batch"])
+            if any(state.get(_name(*r), {}).get("keys", 0) + f["changes"] > self.options.max_keys for r, f in ((tuple(f[:3]), f) for f in facts)):
+                if full := changes.admitted(now, new, self.options.max_keys).where("not admitted").first():
+                    raise IndexFull(f"{full['keys_after']} keys in region {tuple(full[c] for c in REGION)}")
             new = new.select(*KEY, *REGION[1:], "batch_id", "ord", F.col("value").isNull().alias("is_delete"), F.coalesce(F.octet_length("value"), F.lit(0)).alias("raw_len"), F.crc32("value").alias("crc"), "value")
             added = self._put("log", new, REGION, self.options.compression)
-            ends = {_name(r["dimension"], r["region_x"], r["region_z"]): r["last"] for r in ids.groupBy(*REGION).agg(F.max("batch_id").alias("last")).collect()}
-            version = self.commits.add(seen, {n: {"add": added.get(n, []), "last": ends[n]} for n in ends})
+            # "keys" only bounds a region's keys from above: while it is low, they needn't be counted
+            version = self.commits.add(seen, {n: {"add": added.get(n, []), "last": e["last"], "keys": e["changes"]} for e in ends if (n := _name(*e[:3]))})
         finally:
-            rows.unpersist()
+            for df in (rows, kept, ids):
+                if df is not None:
+                    df.unpersist()
         if self.options.auto_compact:
             self._compact_stale(touched)
         return version
@@ -262,8 +268,8 @@ class World:
         added = self._put("log", log, REGION, self.options.compression)
         if held := set(added) & set(state):
             raise InvalidArgument(f"region {min(held)} has a log already")
-        back = self._read("log", [f for fs in added.values() for f in fs], LOG_SCHEMA).groupBy(*REGION).agg(F.max("batch_id").alias("last")).collect()
-        return self.commits.add(seen, {n: {"add": added[n], "last": r["last"]} for r in back if (n := _name(r["dimension"], r["region_x"], r["region_z"]))})
+        back = self._read("log", [f for fs in added.values() for f in fs], LOG_SCHEMA).groupBy(*REGION).agg(F.max("batch_id").alias("last"), F.count("*").alias("changes")).collect()
+        return self.commits.add(seen, {n: {"add": added[n], "last": r["last"], "keys": r["changes"]} for r in back if (n := _name(r["dimension"], r["region_x"], r["region_z"]))})
 
     def _put(self, table: str, df: DataFrame, by: tuple[str, ...], codec: str) -> dict[str, list[str]]:
         """Writes files below ``table`` and gives them by region name. Large partitions are split, small ones are one file."""
