@@ -38,6 +38,9 @@ PROSE = "The cat of the house is on the mat and it was a nice day for all of the
         (f"<p>{PROSE}</p><p><a href=1>one of the</a> <a href=2>two of the links that are in here</a></p>", PROSE),
         (f"<article><header><h1>Title</h1></header><p>A&nbsp;&amp;  b\n c&lt;</p><ul><li>item</li></ul><div class=share>Share the page</div></article><p>{PROSE}</p>", "Title\n\nA & b c<\n\nitem"),
         (f"<article><p>cut {PROSE}", f"cut {PROSE}"),
+        (f"<body class='has-sidebar nav-open'><article class='post with-comments-on'><p>Short.</p><article class='comment'><p>{PROSE}</p></article><ol class=commentlist><li>{PROSE}</ol></article>", "Short."),
+        (f"<div id=siteHeader>{PROSE}</div><div class='post-content'><h2>T</h2><p>One.</p><div class=adBox>Buy the thing.</div></div><div class=sideBar>{PROSE}</div>", "T\n\nOne."),
+        (f"<main><section class=navy><p>{PROSE}</p></section><section id=reader-comments><p>{PROSE}</p></section></main>", PROSE),
         ("plain text without any tag", "plain text without any tag"),
     ],
 )

@@ -36,11 +36,18 @@ _BLOCKS = frozenset(
 )
 _CONTAINERS = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form header main menu nav ol search section table ul".split())
 _BAD_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
-_BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead footer "
-    "comment comments disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal newsletter subscribe subscription signup share sharing social "
-    "related recommended widget login search pagination pager toolbar skip hidden complementary contentinfo".split()
-)
+#: Words in classes, ids and roles that name what isn't the article; ``*`` stands for any ending.
+_BAD_WORDS = (
+    "ad ads adbox adslot adv advert* adsense sponsor* promo* banner* nav navbar navi navigation topnav subnav menu menus menubar breadcrumb* sidebar* rail masthead footer* comment* disqus* "
+    "respond replies cookie* consent* gdpr notice* notification* alert* popup* modal* overlay* newsletter* subscri* signup signin login share* sharing social* related* recommend* teaser* "
+    "widget* search* pagination pager toolbar skip skiplink hidden complementary contentinfo copyright"
+).split()
+_BAD_NAME = re.compile(r"(?:^|[^a-z])(?:" + "|".join(w.replace("*", "[a-z]*") for w in _BAD_WORDS) + r")(?:$|[^a-z])")
+_HEADER_NAME = re.compile(r"(?:^|[^a-z])header(?:$|[^a-z])")
+_NOT_ARTICLE = re.compile(r"(?:^|[^a-z])(?:comments?|reply|ads?|advert|promo|related|sponsored|teaser)(?:$|[^a-z])")
+_NOT_ARTICLE_CLASSES = {"comment", "comments", "ad", "ads", "advert", "promo", "sponsored", "teaser"}
+_MAIN_NAME = re.compile(r"(?:^| )(?:(?:article|post|entry|story|main)[-_]?(?:body|content|text)|article|main)(?:$| )")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"""
     r"""|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|button|head|title|canvas|audio|video|map)\b(?:"[^"]{0,4096}"|'[^']{0,4096}'|[^'">])*+>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -49,7 +56,6 @@ _TAG = re.compile(
     re.I | re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
 _HEADING = re.compile("h[1-6]")
 
 
@@ -63,10 +69,11 @@ class Block:
     label: str = field(default="")  # good, bad, or short while undecided
 
 
-def _named_bad(attrs: str) -> bool:
-    if not attrs or "=" not in attrs:
-        return False
-    return any(w in _BAD_WORDS for m in _NAMES.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+def _names(attrs: str) -> str:
+    """Classes, id and role in lower case, camel case divided."""
+    if "=" not in attrs:
+        return ""
+    return " ".join(_CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower() for m in _NAMES.finditer(attrs))
 
 
 def blocks_of(page: str) -> tuple[list[Block], bool]:
@@ -120,14 +127,21 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
                             break
                 continue
             _, bad, inside = stack[-1]
-            named = _named_bad(attrs)
+            names = _names(attrs)
+            named = bool(_BAD_NAME.search(names)) or (not inside and bool(_HEADER_NAME.search(names)))
             if tag in _CONTAINERS:
                 main = tag in ("article", "main")
-                has_article |= main and not bad
+                if main:
+                    named = bool(_NOT_ARTICLE.search(names)) if inside else bool(_NOT_ARTICLE_CLASSES & set(names.split()))
+                elif tag == "body":
+                    named = False
+                elif not named:
+                    main = bool(_MAIN_NAME.search(names))
                 bad = bad or named or (tag in _BAD_TAGS and not (tag == "header" and inside))
+                has_article |= main and not bad
                 stack.append((tag, bad, inside or main))
             else:
-                own_bad, heading = named, bool(_HEADING.fullmatch(tag))
+                own_bad, heading = named and tag != "html", bool(_HEADING.fullmatch(tag))
     say(page[at:])
     end()
     return found, has_article
