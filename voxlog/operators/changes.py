@@ -106,9 +106,9 @@ def valid_prefix(frames: DataFrame, position: str = "position", by: tuple[str, .
 
 def admitted(live: DataFrame, changes: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
     """Per region with changes: keys before and after, and whether the net number stays within the limit."""
-    from .snapshot import latest
+    from .snapshot import latest, sized
 
-    last = latest(changes).select(*FULL_KEY, F.col("value").isNotNull().alias("puts"))
+    last = latest(sized(changes)).select(*FULL_KEY, F.col("value").isNotNull().alias("puts"))
     now = live.join(last.select(*REGION).distinct(), list(REGION), "left_semi").select(*FULL_KEY, F.lit(True).alias("there"))
     both = now.join(last, list(FULL_KEY), "full_outer")
     out = both.groupBy(*REGION).agg(F.count("there").alias("keys_before"), F.count_if(F.coalesce("puts", "there")).alias("keys_after"))

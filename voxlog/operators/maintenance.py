@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import FULL_KEY, REGION
 from .changes import FRAME_BYTES, RECORD_BYTES
-from .snapshot import live
+from .snapshot import live, sized
 
 
 def region_stats(log: DataFrame) -> DataFrame:
-    """Per region: live keys and bytes, and the bytes of all frames. Log and snapshot are shuffled by region's keys once each."""
-    frames = log.groupBy(*REGION, "batch_id").agg(F.sum(RECORD_BYTES + F.coalesce(F.octet_length("value"), F.lit(0))).alias("body"))
+    """Per region: live keys and bytes, and the bytes of all frames. Lengths are shuffled, never values."""
+    log = sized(log)
+    frames = log.groupBy(*REGION, "batch_id").agg(F.sum(RECORD_BYTES + F.coalesce("value", F.lit(0))).alias("body"))
     total = frames.groupBy(*REGION).agg(F.sum(F.col("body") + FRAME_BYTES).cast("long").alias("total_bytes"))
-    now = live(log).groupBy(*REGION).agg(F.count("*").alias("live_keys"), F.sum(RECORD_BYTES + F.octet_length("value")).cast("long").alias("live_bytes"))
+    now = live(log).groupBy(*REGION).agg(F.count("*").alias("live_keys"), F.sum(RECORD_BYTES + F.col("value")).cast("long").alias("live_bytes"))
     return total.join(now, list(REGION), "left").na.fill(0, ["live_keys", "live_bytes"])
 
 

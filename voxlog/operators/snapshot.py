@@ -26,6 +26,15 @@ def live(log: DataFrame, keys: tuple[str, ...] = FULL_KEY, order: tuple[str, ...
     return latest(log, keys, order).where("value is not null")
 
 
+def sized(log: DataFrame) -> DataFrame:
+    """The log with each value's length in its place (null for a delete), so that reads which need no bytes shuffle none.
+
+    A stored log has the lengths in a column of their own, and its values aren't even read.
+    """
+    size = F.when(~F.col("is_delete"), F.col("raw_len")) if "raw_len" in log.columns else F.octet_length("value")
+    return log.withColumn("value", size.cast("long"))
+
+
 def as_of(log: DataFrame, batch_id: int) -> DataFrame:
     """The live snapshot after a batch (an extension: the log keeps what it needs)."""
     return live(log.where(F.col("batch_id") <= batch_id))
@@ -46,10 +55,7 @@ def get(log: DataFrame, *key: int) -> DataFrame:
 
 def value_size(log: DataFrame, *key: int) -> DataFrame:
     """The length alone; with a stored raw_len the value isn't read."""
-    here = log.where(key_is(*key))
-    if "raw_len" in log.columns:
-        return latest(here.drop("value")).where("not is_delete").select(*KEY, F.col("raw_len").cast("long").alias("raw_len"))
-    return live(here).select(*KEY, F.octet_length("value").cast("long").alias("raw_len"))
+    return get(sized(log), *key).select(*KEY, F.col("value").alias("raw_len"))
 
 
 def get_many(log: DataFrame, requests: DataFrame) -> DataFrame:
@@ -83,18 +89,18 @@ def chunk_packed(log: DataFrame) -> DataFrame:
 def chunk_offsets(log: DataFrame) -> DataFrame:
     """Where each live record starts in its chunk's buffer."""
     before = Window.partitionBy(*CHUNK).orderBy("local").rowsBetween(Window.unboundedPreceding, -1)
-    at = live(log).withColumns({"local": local_key(), "raw_len": F.octet_length("value").cast("long")})
+    at = live(sized(log)).withColumn("local", local_key()).withColumn("raw_len", F.col("value"))
     return at.select(*KEY, "local", "raw_len", F.coalesce(F.sum("raw_len").over(before), F.lit(0)).alias("start"))
 
 
 def chunk_summary(log: DataFrame) -> DataFrame:
-    return live(log).groupBy(*CHUNK).agg(F.count("*").alias("records"), F.sum(F.octet_length("value")).cast("long").alias("required"))
+    return live(sized(log)).groupBy(*CHUNK).agg(F.count("*").alias("records"), F.sum("value").alias("required"))
 
 
 def list_keys(log: DataFrame, dimension: int, region_x: int, region_z: int, components: list[int] | None = None) -> DataFrame:
     """Keys of a region in key order; a missing region is empty."""
     here = (F.col("dimension") == dimension) & (F.col("region_x") == region_x) & (F.col("region_z") == region_z)
-    return live(log.where(here & matches(components))).select(*KEY).orderBy(*CHUNK, local_key())
+    return live(sized(log.where(here & matches(components)))).select(*KEY).orderBy(*CHUNK, local_key())
 
 
 def keys_in_range(log: DataFrame, dimension: int | None, min_x: int, max_x: int, min_z: int, max_z: int, components: list[int] | None = None) -> DataFrame:
@@ -104,7 +110,7 @@ def keys_in_range(log: DataFrame, dimension: int | None, min_x: int, max_x: int,
     keep = matches(components, min_x, max_x, min_z, max_z)
     if dimension is not None:
         keep = keep & (F.col("dimension") == dimension)
-    return live(log.where(keep)).select(*KEY).orderBy(*CHUNK, local_key())
+    return live(sized(log.where(keep))).select(*KEY).orderBy(*CHUNK, local_key())
 
 
 def list_regions(log: DataFrame) -> DataFrame:
@@ -130,7 +136,7 @@ def overlay(base: DataFrame, over: DataFrame) -> DataFrame:
 
 def overlay_state(base: DataFrame, over: DataFrame) -> DataFrame:
     """What the overlay says of each key of either: absent, deleted or value. A delete counts though the base lacks the key."""
-    b, o = live(base).select(*FULL_KEY), latest(over).select(*FULL_KEY, "value", F.lit(True).alias("there"))
+    b, o = live(sized(base)).select(*FULL_KEY), latest(sized(over)).select(*FULL_KEY, "value", F.lit(True).alias("there"))
     state = F.when(F.col("there").isNull(), "absent").when(F.col("value").isNull(), "deleted").otherwise("value")
     return b.join(o, list(FULL_KEY), "full_outer").select(*KEY, state.alias("state"))
 
