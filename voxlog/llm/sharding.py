@@ -58,13 +58,14 @@ def kd_shard(
             F.crc32(text.cast("binary")).alias("crc"),
             *[d.alias(f"d{i}") for i, d in enumerate(dims)],
             F.monotonically_increasing_id().alias("rid"),
+            F.lit(0).alias("node"),
         )
     ).withColumn("ord", F.coalesce(F.col("id").cast("long"), F.lit(_SIGN)))
     total = t.agg(F.sum("w")).first()[0] or 0
     leaves = shards or max(1, math.ceil(total / (target_bytes or 1 << 30)))
     levels = math.ceil(math.log2(leaves)) if leaves > 1 else 0
     nodes = {0: (0, leaves)}  # node: its first leaf, its leaves
-    rows, spread = t.withColumn("node", F.lit(0)), {}
+    rows, spread = t, {}
     for level in range(levels if total else 0):
         found = _spread(rows, len(dims))
         spread = spread or found[0]
