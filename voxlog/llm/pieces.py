@@ -28,7 +28,7 @@ from .shared import table, text_of
 
 SPACE = "▁"
 #: Words whose lattices a worker keeps; words sampled at a time; documents in a batch that is passed on; lattices made at a time.
-CACHED, WORDS_AT_ONCE, DOCUMENTS_AT_ONCE, MADE_AT_ONCE = 400_000, 1 << 15, 512, 1024
+CACHED, WORDS_AT_ONCE, DOCUMENTS_AT_ONCE, MADE_AT_ONCE = 150_000, 1 << 15, 512, 1024
 #: A constant for each character of a piece keeps the filtered sums near 1; it is the same for every segmentation.
 _SCALE = 60.0
 _WORDS = re.compile(" *[^ ]+| +")
@@ -84,9 +84,9 @@ class Lattices:
     def _empty(self) -> None:
         self.ends: dict[str, int] = {}
         self.nodes = self.arcs = 0
-        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int8)  # by node: its first arc, its arcs
+        self.first, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int8)  # by node: its first arc, its arcs
         # by arc: the share of it and those before it at its node, the nodes it leads back, its piece
-        self.cum, self.back, self.piece = np.empty(1 << 18, np.float32), np.empty(1 << 18, np.int8), np.empty(1 << 18, np.int32)
+        self.cum, self.back, self.piece = np.empty(1 << 18, np.float32), np.empty(1 << 18, np.int8), np.empty(1 << 18, np.uint16 if len(self.surface) <= 1 << 16 else np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The row of each hash, or -1."""
@@ -199,7 +199,7 @@ class Lattices:
         taken, lengths, step = [], np.zeros(len(words), np.int64), 0
         while len(alive):
             u = (_mix(base[alive] + _mix(np.array([step + 1], np.uint64))) >> np.uint64(11)) * 2.0**-53
-            arc = first[at]
+            arc = first[at].astype(np.int64)
             many = np.flatnonzero(cum[arc] <= u)
             while len(many):
                 arc[many] += 1
@@ -233,7 +233,7 @@ def _hash(h: int, symbol: int) -> int:
 
 def _append(a: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     if n + len(more) > len(a):
-        a = np.concatenate((a[:n], np.empty(max(len(more), n), a.dtype)))
+        a = np.concatenate((a[:n], np.empty(max(len(more), n // 4), a.dtype)))
     a[n : n + len(more)] = more.astype(a.dtype)
     return a
 
