@@ -68,12 +68,22 @@ class Files:
             finally:
                 os.unlink(tmp)
             return
-        try:
-            stream = self._fs.create(self._path(self.at(name)), False)
-        except Exception as e:
-            raise Conflict(name) from e
+        target = self._path(self.at(name))
+        tmp = self._path(f"{self.at(name)}.{uuid.uuid4().hex}.tmp")
+        if self._fs.exists(target):
+            raise Conflict(name)
+        stream = self._fs.create(tmp, False)
         stream.write(bytearray(data))
         stream.close()
+        try:  # whole or not there: a distributed file system refuses to rename over a file
+            renamed = self._fs.rename(tmp, target)
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
+            renamed = False
+        if not renamed:
+            self._fs.delete(tmp, False)
+            raise Conflict(name)
 
     def rename(self, old: str, new: str) -> None:
         target = self._path(self.at(new))
