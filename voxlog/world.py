@@ -1,8 +1,9 @@
 """A world: a partitioned Parquet log of records, versioned by atomic commits, with an auxiliary table of raw keys.
 
-Layout: ``log/dimension=/region_x=/region_z=/*.parquet``, ``aux/bucket=/*.parquet``, ``_commits/`` and ``_aux_commits/``,
-``_world.json``. A read takes the file list of one version, so it is a snapshot, and lists only the files of the regions
-asked for. Data are written by executors; the driver renames files and publishes one small commit.
+Layout: ``log/commit=/dimension=/region_x=/region_z=/*.parquet``, ``aux/commit=/bucket=/*.parquet``, ``_commits/`` and
+``_aux_commits/``, ``_world.json``. A read takes the file list of one version, so it is a snapshot, and lists only the files of the regions
+asked for. Data are written in place by executors and count once the driver has published
+one small commit that names them.
 """
 
 from __future__ import annotations
@@ -52,6 +53,14 @@ class Options:
         return self
 
 
+#: Regions compacted in one job and commit.
+REGIONS_AT_ONCE = 10_000
+
+
+def literal(rows: list[tuple[int, int, int, int]], spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(rows, "dimension int, region_x int, region_z int, last long")
+
+
 def library_info() -> dict:
     return {"version": LIBRARY_VERSION, "world_version": WORLD_VERSION, "options": {f.name: f.default for f in fields(Options)}}
 
@@ -117,7 +126,7 @@ class World:
     def _read(self, table: str, files: list[str], schema: str) -> DataFrame:
         if not files:
             return self.spark.range(0).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
-        return self.spark.read.schema(schema).option("basePath", self.files.at(table)).parquet(*[self.files.at(f"{table}/{f}") for f in files])
+        return self.spark.read.schema(schema).option("basePath", self.files.at(table)).parquet(*[self.files.at(f"{table}/{f}") for f in files]).drop("commit")
 
     def _one(self, dimension: int, chunk_x: int, chunk_z: int) -> DataFrame:
         return self.log([(dimension, chunk_x >> 5, chunk_z >> 5)])
@@ -230,7 +239,7 @@ class World:
             if not touched:
                 return None
             known = [(*r, state.get(_name(*r), {}).get("last", 0)) for r in touched]
-            last = self.spark.createDataFrame(known, "dimension int, region_x int, region_z int, last long")
+            last = literal(known, self.spark)
             now = snapshot.live(self._read("log", self._log_files(state, touched), LOG_SCHEMA)).select(*FULL_KEY, "value")
             if self.options.skip_unchanged:
                 w = Window.partitionBy(*REGION)
@@ -273,16 +282,13 @@ class World:
 
     def _put(self, table: str, df: DataFrame, by: tuple[str, ...], codec: str) -> dict[str, list[str]]:
         """Writes files below ``table`` and gives them by region name. Large partitions are split, small ones are one file."""
-        stage = f"_staging/{uuid.uuid4().hex}"
-        df.hint("rebalance", *by).write.partitionBy(*by).option("compression", codec).parquet(self.files.at(stage))
+        commit = f"commit=c{uuid.uuid4().hex}"
+        df.hint("rebalance", *by).write.partitionBy(*by).option("compression", codec).parquet(self.files.at(f"{table}/{commit}"))
         out: dict[str, list[str]] = {}
-        for path, _ in self.files.walk(stage):
-            parts = path.split("/")
-            if parts[-1].endswith(".parquet") and len(parts) == len(by) + 1:
-                values = [int(p.split("=")[1]) for p in parts[:-1]]
-                self.files.rename(f"{stage}/{path}", f"{table}/{path}")
-                out.setdefault(_name(*values), []).append(path)
-        self.files.delete(stage)
+        for path, _ in self.files.sizes(f"{table}/{commit}"):
+            *parts, file = path.split("/")
+            if file.endswith(".parquet"):
+                out.setdefault(_name(*[int(p.split("=")[1]) for p in parts]), []).append(f"{commit}/{path}")
         return out
 
     def flush(self) -> int | None:
@@ -359,28 +365,33 @@ class World:
 
     def compact(self, dimension: int, region_x: int, region_z: int) -> bool:
         """Rewrites a region to its live records; contents and last batch id stay. False if there is no such region."""
+        return self._compact([(dimension, region_x, region_z)]) == 1
+
+    def _compact(self, regions: list[tuple[int, int, int]]) -> int:
+        """Compacts regions in one job and one commit; what is appended meanwhile stays. The number that were there."""
         self._open()
-        name = _name(dimension, region_x, region_z)
         while True:
             seen, state = self.commits.state()
-            if name not in state:
-                return False
-            old = state[name]
-            live = snapshot.live(self._read("log", old["files"], LOG_SCHEMA)).withColumn("batch_id", F.lit(old["last"]).cast("long"))
-            new = live.select(*KEY, *REGION[1:], "batch_id", F.row_number().over(Window.partitionBy(*REGION).orderBy("chunk_z", "chunk_x", "component", "subchunk_y")).alias("ord"), "is_delete", "raw_len", "crc", "value")
+            found = {n: state[n] for r in regions if (n := _name(*r)) in state}
+            if not found:
+                return 0
+            last = literal([(*_region(n), s["last"]) for n, s in found.items()], self.spark)
+            live = snapshot.live(self._read("log", [f for s in found.values() for f in s["files"]], LOG_SCHEMA)).drop("batch_id").join(F.broadcast(last), list(REGION))
+            w = Window.partitionBy(*REGION).orderBy("chunk_z", "chunk_x", "component", "subchunk_y")  # a region's keys are limited
+            new = live.select(*KEY, *REGION[1:], F.col("last").alias("batch_id"), F.row_number().over(w).alias("ord"), "is_delete", "raw_len", "crc", "value")
             added = self._put("log", new, REGION, self.options.dense_compression)
             try:
-                self.commits.add(seen, {name: {"add": added.get(name, []), "remove": old["files"], "base": old["last"]}}, tail_safe=True)
-                return True
+                self.commits.add(seen, {n: {"add": added.get(n, []), "remove": s["files"], "base": s["last"]} for n, s in found.items()}, tail_safe=True)
+                return len(found)
             except Conflict:
                 continue
 
     def compact_world(self) -> tuple[int, int, int]:
-        """Compacts all regions: (regions, bytes read, bytes written)."""
-        size = lambda: sum(n for _, n in self._referenced())
+        """Compacts all regions, many in one job: (regions, bytes read, bytes written)."""
+        size = lambda: sum(n for f, n in self._referenced() if f.startswith("log/"))
         before, regions = size(), sorted(map(_region, self.commits.state()[1]))
-        with ThreadPoolExecutor(8) as pool:
-            list(pool.map(lambda r: self.compact(*r), regions))
+        for i in range(0, len(regions), REGIONS_AT_ONCE):
+            self._compact(regions[i : i + REGIONS_AT_ONCE])
         return len(regions), before, size()
 
     def compact_async(self, dimension: int, region_x: int, region_z: int) -> None:
@@ -412,14 +423,14 @@ class World:
                 pass
 
     def _referenced(self) -> list[tuple[str, int]]:
-        sizes = {f"{t}/{p}": n for t in ("log", "aux") for p, n in self.files.walk(t)}
+        sizes = {f"{t}/{p}": n for t in ("log", "aux") for p, n in self.files.sizes(t)}
         named = [f"{t}/{f}" for t, c in (("log", self.commits), ("aux", self.aux_commits)) for s in c.state()[1].values() for f in s["files"]]
         return [(f, sizes.get(f, -1)) for f in named]
 
     def orphans(self) -> list[str]:
         """Files that no commit names: left by compactions, and by writers that failed."""
         named = {f for f, _ in self._referenced()}
-        return sorted(f"{t}/{p}" for t in ("log", "aux", "_staging") for p, _ in self.files.walk(t) if p.endswith(".parquet") and f"{t}/{p}" not in named)
+        return sorted(f"{t}/{p}" for t in ("log", "aux") for p, _ in self.files.sizes(t) if p.endswith(".parquet") and f"{t}/{p}" not in named)
 
     def vacuum(self) -> int:
         """Deletes orphans. Run it when no reader of an older version and no writer is at work."""
@@ -484,7 +495,7 @@ class Overlay:
     def reset(self) -> None:
         """Drops the overlay."""
         self.over.close()
-        for name in ("log", "aux", "_commits", "_aux_commits", "_staging"):
+        for name in ("log", "aux", "_commits", "_aux_commits"):
             self.over.files.delete(name)
         self.over = World(self.base.spark, self.path, self.options)
 
