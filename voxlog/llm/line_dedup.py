@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, table, text_of
 
-#: Leading tokens in the tree; least documents of a recurring template; tokens below which a line is too short to tell.
-DEPTH, DOCUMENTS, TOKENS = 3, 2, 3
+#: Leading tokens in the tree; least documents of a recurring template; tokens and characters below which a line is short.
+DEPTH, DOCUMENTS, TOKENS, CHARS = 3, 2, 3, 20
+#: A short line recurs by more than chance in so many documents, and so many times the documents that its words explain.
+SHORT_DOCUMENTS, CHANCE = 5, 10
 #: Least fixed tokens of a generalised template, least share of its tokens, and least share of a leaf's lines, and
 #: lines, that fix a token.
 FIXED_TOKENS, FIXED_SHARE, LINE_SHARE, LINES = 5, 0.7, 0.25, 2
@@ -30,20 +32,46 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*", "<*>")).otherwise(line)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, th, pos, line (masked), n, leaf, h for every line that isn't blank or too short."""
+def _lines(docs: DataFrame, short_lines: bool) -> DataFrame:
+    """id, th, pos, line (masked), n, short, leaf, h for every line that isn't blank; without short_lines, for those of enough tokens."""
     lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     lines = lines.select("id", "th", "pos", masked(F.col("line")).alias("line"))
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return lines.withColumn("n", tokens).where(F.col("n") >= TOKENS).select("id", "th", "pos", "line", "n", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("h"))
+    lines = lines.withColumns({"n": tokens, "short": (tokens < TOKENS) & (F.length("line") < CHARS)})
+    lines = lines if short_lines else lines.where(F.col("n") >= TOKENS)
+    return lines.select("id", "th", "pos", "line", "n", "short", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("h"))
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+
+
+def _beyond_chance(docs: DataFrame, lines: DataFrame, recurring: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leaf, t) of the short lines that recur more often than their words explain.
+
+    If the words of short lines were drawn like those of all texts, a line of words of shares p and q would stand in at most
+    n * p * q documents, with n the number of short lines; the line itself doesn't count for its words'
+    shares. That grows as the table does, and so does the count it is held against.
+    """
+    often = scratch.put(recurring.where(F.col("short") & (F.col("docs") >= SHORT_DOCUMENTS)).select("leaf", "t", "docs"))
+    texts = _lines(docs, True).where("short").join(_few(often.withColumnRenamed("t", "h")), ["leaf", "h"]).groupBy("leaf", "h", "docs").agg(F.any_value("line").alias("line"))
+    of = scratch.put(texts.select("leaf", F.col("h").alias("t"), "docs", F.explode(_words(F.replace("line", F.lit("<*>"), F.lit(" ")))).alias("word")))
+    asked = of.select("word", F.col("word").alias("asked")).distinct()
+    counts = scratch.put(docs.select(F.explode(_words(F.col("text"))).alias("word")).join(_few(asked), "word", "left").groupBy("asked").agg(F.count("*").alias("count")))
+    total, n = counts.agg(F.sum("count")).first()[0], lines.where("short").count()
+    by_words = of.join(counts.where("asked is not null").withColumnRenamed("asked", "word"), "word").groupBy("leaf", "t", "docs").agg(F.sum(F.log(F.greatest(F.col("count") - F.col("docs"), F.lit(1)) / F.lit(total or 1))).alias("log"))
+    return scratch.put(by_words.where(F.col("docs") >= CHANCE * n * F.exp("log")).select("leaf", "t"))
+
+
+def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch, short_lines: bool) -> DataFrame:
     """(leaf, h, template) for the lines whose variable fields are generalised."""
     several = lines.where(F.col("n") >= FIXED_TOKENS).groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("leaf")
     several = scratch.put(several)
-    near = F.broadcast(several) if several.count() <= BROADCAST_LEAVES else several
-    texts = _lines(docs).join(near, "leaf", "left_semi").groupBy("leaf", "h").agg(F.any_value("line").alias("line"))
+    texts = _lines(docs, short_lines).join(_few(several), "leaf", "left_semi").groupBy("leaf", "h").agg(F.any_value("line").alias("line"))
     tokens = scratch.put(texts.select("leaf", "h", F.posexplode(F.split("line", " ")).alias("at", "token")).select("leaf", "h", "at", F.xxhash64("token").alias("token")))
     variants = tokens.where("at = 0").groupBy("leaf").agg(F.count("*").alias("variants"))
     fixed = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= LINES).join(variants, "leaf")
@@ -55,22 +83,27 @@ def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFra
     return templates.where((F.col("fixed") >= FIXED_TOKENS) & (F.col("fixed") >= FIXED_SHARE * F.col("n"))).select("leaf", "h", "template")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, short_lines: bool = True) -> DataFrame:
     """``df`` with the text cut to the lines that stay, and n_lines, n_dropped added.
 
-    Lines are what newlines separate; blank ones and those of one or two tokens, which recur by chance, are never dropped. A line that recurs only within its document stays.
+    Lines are what newlines separate; blank ones are never dropped. Short ones, of one or two tokens and less than CHARS
+    characters, go where they recur in more documents than chance explains (see ``_beyond_chance``); those without a letter
+    stay. Without ``short_lines`` every line of one or two tokens stays. A line that recurs only within its document stays.
     Rows that repeat an id and a text are one document and are cut alike; a null id ranks before all others. A null text
     stays null; a text may become empty. Other columns pass through, an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "line-dedup")
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(text_of(text_col)))
     docs = df.select(key[0].alias("id"), key[1].alias("th"), text_of(text_col).alias("text"))
-    lines = scratch.put(_lines(docs).drop("line"))
-    merged = scratch.put(_generalised(docs, lines, scratch))
-    lines = scratch.put(lines.join(merged, ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t")))
-    once = lines.groupBy("leaf", "t", "id", "th").agg(F.lit(1).alias("one"))
-    recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th")).where(F.col("docs") >= documents)
+    lines = scratch.put(_lines(docs, short_lines).drop("line"))
+    merged = scratch.put(_generalised(docs, lines, scratch, short_lines))
+    lines = scratch.put(lines.join(merged, ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short"))
+    once = lines.groupBy("leaf", "t", "id", "th").agg(F.max("short").alias("short"))
+    recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th"), F.max("short").alias("short")).where(F.col("docs") >= documents)
     recurring = scratch.put(recurring)  # joined from a written table, so that a template that most documents hold can be split
+    if short_lines:
+        recurring = recurring.where("not short").unionByName(recurring.join(_few(_beyond_chance(docs, lines, recurring, scratch)), ["leaf", "t"], "left_semi"))
+    recurring = recurring.drop("short")
     gone = lines.join(recurring, ["leaf", "t"]).where((F.col("id") != F.col("first")) | (F.col("th") != F.col("first_th")))
     gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"id": "_id", "th": "_th"})
     whole = df.withColumns({"_id": key[0], "_th": key[1]}).join(gone, ["_id", "_th"], "left")
@@ -82,7 +115,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """As its SQL has it: lines of one or two tokens stay."""
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=False)
 
 
 OP10_SQL = r"""
