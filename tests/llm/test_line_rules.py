@@ -15,3 +15,14 @@ def test_short_lines_go_where_chance_cannot_explain_them(docs):
     assert sum("The." in t for t in got.values()) == 20
     assert passage in got[0] and passage not in got[1]
     assert got[101] == ["Rare two", "---"] and all(got[i] == ["---", "12"] for i in range(200, 220))
+
+
+def test_a_leaf_of_many_templates(docs):
+    """Five templates and unrelated lines of one lead and length: other lines of the leaf don't hide a template."""
+    rows = []
+    for k in range(5):
+        c = "vwxyz"[k]
+        rows += [(100 * k + i, f"in the first {c}a {c}b {c}c {c}d own{words(i)[3:5]}{k}") for i in range(20)]
+    rows += [(1000 + i, f"in the first {words(i)}") for i in range(60)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(docs(rows)).collect()}
+    assert all(n == (i < 1000 and i % 100 > 0) for i, n in got.items())

@@ -11,6 +11,8 @@ different line; whole texts are shuffled once, to meet the decisions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,23 +69,39 @@ def _beyond_chance(docs: DataFrame, lines: DataFrame, recurring: DataFrame, scra
     return scratch.put(by_words.where(F.col("docs") >= CHANCE * n * F.exp("log")).select("leaf", "t"))
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch, short_lines: bool) -> DataFrame:
-    """(leaf, h, template) for the lines whose variable fields are generalised."""
+def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch, short_lines: bool, split_leaves: bool) -> DataFrame:
+    """(leaf, h, template) for the lines whose variable fields are generalised.
+
+    With ``split_leaves`` the other lines of a leaf are grouped by the token that most of the group's lines hold, of those
+    that aren't fixed, and are tried again among their own. Such a group is less than LINE_SHARE of the one it is
+    taken from, so that the rounds grow with the logarithm of the largest leaf.
+    """
     several = lines.where(F.col("n") >= FIXED_TOKENS).groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("leaf")
     several = scratch.put(several)
     texts = _lines(docs, short_lines).join(_few(several), "leaf", "left_semi").groupBy("leaf", "h").agg(F.any_value("line").alias("line"))
     tokens = scratch.put(texts.select("leaf", "h", F.posexplode(F.split("line", " ")).alias("at", "token")).select("leaf", "h", "at", F.xxhash64("token").alias("token")))
-    variants = tokens.where("at = 0").groupBy("leaf").agg(F.count("*").alias("variants"))
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= LINES).join(variants, "leaf")
-    fixed = fixed.where(F.col("lines") >= LINE_SHARE * F.col("variants")).select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    held = tokens.join(fixed, ["leaf", "at", "token"], "left")
-    templates = held.groupBy("leaf", "h").agg(
-        F.count("*").alias("n"), F.count("fixed").alias("fixed"), F.bit_xor(F.when(F.col("fixed"), F.xxhash64("at", "token"))).alias("template")
-    )
-    return templates.where((F.col("fixed") >= FIXED_TOKENS) & (F.col("fixed") >= FIXED_SHARE * F.col("n"))).select("leaf", "h", "template")
-
-
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, short_lines: bool = True) -> DataFrame:
+    done, group = [], tokens.withColumn("group", F.col("leaf"))
+    while True:
+        variants = group.where("at = 0").groupBy("group").agg(F.count("*").alias("variants"))
+        seen = group.groupBy("group", "at", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= LINES).join(variants, "group")
+        seen = seen.select("group", "at", "token", "lines", "variants", (F.col("lines") >= LINE_SHARE * F.col("variants")).alias("fixed"))
+        held = group.join(seen, ["group", "at", "token"], "left")
+        anchor = F.max(F.when(~F.col("fixed"), F.struct("lines", "at", "token")))
+        templates = held.groupBy("leaf", "group", "h").agg(
+            F.count("*").alias("n"), F.count_if("fixed").alias("fixed"), F.bit_xor(F.when(F.col("fixed"), F.xxhash64("at", "token"))).alias("template"), anchor.alias("anchor")
+        )
+        whole = (F.col("fixed") >= FIXED_TOKENS) & (F.col("fixed") >= FIXED_SHARE * F.col("n"))
+        if not split_leaves:
+            return templates.where(whole).select("leaf", "h", "template")
+        templates = scratch.put(templates.withColumn("whole", whole))
+        done.append(templates.where("whole").select("leaf", "h", "template"))
+        rest = scratch.put(templates.where("not whole and anchor is not null").select("leaf", "h", F.xxhash64("group", "anchor.at", "anchor.token").alias("group")))
+        if not rest.count():
+            return reduce(DataFrame.unionByName, done)
+        group = scratch.put(tokens.join(rest, ["leaf", "h"]))
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, short_lines: bool = True, split_leaves: bool = True) -> DataFrame:
     """``df`` with the text cut to the lines that stay, and n_lines, n_dropped added.
 
     Lines are what newlines separate; blank ones are never dropped. Short ones, of one or two tokens and less than CHARS
@@ -96,7 +114,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(text_of(text_col)))
     docs = df.select(key[0].alias("id"), key[1].alias("th"), text_of(text_col).alias("text"))
     lines = scratch.put(_lines(docs, short_lines).drop("line"))
-    merged = scratch.put(_generalised(docs, lines, scratch, short_lines))
+    merged = scratch.put(_generalised(docs, lines, scratch, short_lines, split_leaves))
     lines = scratch.put(lines.join(merged, ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short"))
     once = lines.groupBy("leaf", "t", "id", "th").agg(F.max("short").alias("short"))
     recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th"), F.max("short").alias("short")).where(F.col("docs") >= documents)
@@ -115,8 +133,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it: lines of one or two tokens stay."""
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=False)
+    """As its SQL has it: lines of one or two tokens stay, and leaves aren't split."""
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=False, split_leaves=False)
 
 
 OP10_SQL = r"""
