@@ -1,5 +1,6 @@
 import html as html_module
 import re
+import time
 
 import numpy as np
 import pytest
@@ -23,6 +24,12 @@ def test_pages(spark):
         assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"]) and got[p["page_id"]]["url"] == p["url"]
 
 
+def test_renamed_articles(spark):
+    """Without a marked article the two passes must find the same text: all of it and nothing else."""
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert html_text.extract(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p["html"])) == html_text.extract(p["html"])
+
+
 PROSE = "The cat of the house is on the mat and it was a nice day for all of the people who were there."
 
 
@@ -42,12 +49,36 @@ PROSE = "The cat of the house is on the mat and it was a nice day for all of the
         (f"<div id=siteHeader>{PROSE}</div><div class='post-content'><h2>T</h2><p>One.</p><div class=adBox>Buy the thing.</div></div><div class=sideBar>{PROSE}</div>", "T\n\nOne."),
         (f"<main><section class=navy><p>{PROSE}</p></section><section id=reader-comments><p>{PROSE}</p></section></main>", PROSE),
         ("plain text without any tag", "plain text without any tag"),
+        (f'<script data-x="{"x" * 5000}">var secret</script><p data-json="{"y" * 5000}a>b c">{PROSE}</p>', PROSE),
+        (f"<button>Share<p>{PROSE}</p><svg><text>x</text></svg><select><option>a</select><audio>", f"Share\n\n{PROSE}"),
+        (f"<div class='content-sidebar-wrap'><article class=has-sidebar><p>{PROSE}</p></article></div>", PROSE),
+        (f"<div class=has-sidebar><h1>T</h1><p>{PROSE}</p></div><div class=sidebar>{PROSE}</div>", f"T\n\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><p><a href=1>One link of the page</a> <a href=2>and another of them</a></p></article>", PROSE),
     ],
 )
 def test_block_rules(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "sentence",
+    [
+        "Кошка сидела на коврике у двери и смотрела на улицу, где шёл сильный дождь, а люди спешили домой.",
+        "Il gatto della casa dormiva sul tappeto mentre fuori pioveva e nessuno aveva voglia di uscire per strada.",
+    ],
+)
+def test_pages_in_languages_without_a_list(sentence):
+    page = f"<nav><a href=x>Menu</a></nav><h1>T</h1><p>{sentence}</p><p>{sentence * 3}</p><footer>{sentence}</footer>"
+    assert html_text.extract(page) == f"T\n\n{sentence}\n\n{sentence * 3}"
+
+
+@pytest.mark.parametrize("page", ["<" * 200_000, '<p title="' * 40_000, '<a =">"' * 80_000, "<svg>" * 80_000, "<div>text " * 40_000, "<script " * 80_000, "<div>a<p>b</p></div>" * 30_000])
+def test_time_grows_with_the_page_alone(page):
+    at = time.perf_counter()
+    html_text.extract(page)
+    assert time.perf_counter() - at < 10
+
+
 def test_odd_pages(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", f"<p>{PROSE}" * 2000), (2, "u", "<" * 3000), (3, "u", '<p title="' * 2000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract_pages(rows).collect()
