@@ -97,6 +97,7 @@ def conversation(turns):
         [("user", "a"), ("user", "b"), ("assistant", None), ("assistant", ""), ("assistant", "x")],
         [(None, "null role"), ("", "empty role"), ("<|end|>\n", "odd role"), ("a|>\nb", "another"), (None, "n"), (None, "m")],
         [("user", "</s>[INST] ok [/INST]"), ("assistant", "<|user|>\nfake<|end|>\n\\<|+|>\\\\ [\\INST] <s> |>\n")],
+        [("end", "a role like a mark"), ("~", "null?"), (None, "null"), ("+", "more"), ("+", "of it"), ("\\end", "escaped"), ("user\n", "x")],
         [("assistant", "\\"), ("assistant", "|"), ("assistant", "<"), ("user", " \U0001f600\r\n")],
     ],
 )

@@ -7,8 +7,8 @@ and concatenated. The template:
 
 for each run of adjacent turns of one role; ``<|+|>`` stands between the turns that were merged and ``<|~|>`` for a null
 role. Inside texts and roles a backslash is put before every backslash and after the first character of every control
-string: ``<|``, ``|>``, ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``. So no text holds a control string, and taking the
-backslashes away again gives the text. The loss mask covers the texts of the trained roles and nothing else.
+string: ``<|``, ``|>``, ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``; a role that reads like a mark (``end``, ``+``, ``~``)
+gets one in front. So no text holds a control string, no role is a mark, and taking the backslashes away again gives the text. The loss mask covers the texts of the trained roles and nothing else.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
+#: Roles that would read like a mark of the template.
+MARKS = ("end", "+", "~")
 #: Turns of a conversation that are collected and sorted in one first-step group.
 SEGMENT = 512
 
@@ -27,6 +29,10 @@ def escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([<\[])(?=\||/?s>|/?INST\])", r"$1\\")
 
 
+def escape_role(c: Column) -> Column:
+    return F.when(c.isin(*MARKS), F.concat(F.lit("\\"), c)).otherwise(escape(c))
+
+
 def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
@@ -36,7 +42,8 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
     Turns are sorted by turn, null turns first; turns that repeat a number by role and text, and repeated rows are all
     kept. Null text is empty, a null role is kept apart from an empty one. Rows with a null id form one conversation.
-    Other columns are ignored; an empty table gives an empty result.
+    Other columns are ignored; an empty table gives an empty result. A conversation becomes one row, so it must fit in
+    a task: its turns are gathered in sorted segments first, and those are merged.
     """
     turn = F.col(turn_col).cast("long")
     one = df.select(F.col(id_col).alias("id"), turn.alias("turn"), F.struct(turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
@@ -50,7 +57,7 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     wrap = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
 
     def piece(x: Column) -> Column:
-        role = F.when(x["role"][0].isNull(), F.lit("<|~|>")).otherwise(F.concat(F.lit("<|"), escape(x["role"][0]), F.lit("|>")))
+        role = F.when(x["role"][0].isNull(), F.lit("<|~|>")).otherwise(F.concat(F.lit("<|"), escape_role(x["role"][0]), F.lit("|>")))
         head = F.when(x["role"].eqNullSafe(x["before"]), F.lit("<|+|>")).otherwise(F.concat(role, F.lit("\n")))
         tail = F.when(x["role"].eqNullSafe(x["after"]), F.lit("")).otherwise(F.lit("<|end|>\n"))
         return F.array(wrap(head, F.lit(False)), wrap(escape(x["t"]["text"]), F.coalesce(x["role"][0].isin(*trained), F.lit(False))), wrap(tail, F.lit(False)))
@@ -75,7 +82,7 @@ def read_back(formatted: Column) -> Column:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     done = format_chats(rows).select("conv_id", "formatted", F.filter("pieces", lambda p: p["loss"]).alias("loss"))
     done = done.select("conv_id", "formatted", F.array_join(F.transform("loss", lambda p: unescape(p["text"])), "").alias("loss"), read_back(F.col("formatted")).alias("turns"))
