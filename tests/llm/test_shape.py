@@ -104,6 +104,21 @@ def test_packing_of_odd_rows(docs):
     assert lengths == want and packing.best_fit_pack(docs([])).collect() == []
 
 
+def test_packing_does_not_depend_on_arrow_batches(spark, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(packing, "TASK_TOKENS", 60_000)
+    packed = packing.best_fit_pack(df)
+    first = sorted(map(tuple, packed.collect()))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, packed.collect())) == first == sorted(map(tuple, packing.best_fit_pack(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    online = packing.best_fit_pack(df, look_ahead=0).collect()
+    check_packing(online, {r["doc_id"]: r["text"] for r in df.collect()})
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=120), st.integers(1, 5))
 def test_best_fit_is_the_plain_rule(lengths, open_bins):
