@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .shared import Scratch, connected_components, table, text_of
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
-#: Variants that one prefix should hold, and that are made at a time.
-PREFIX_VARIANTS, MADE_AT_ONCE = 4_000_000, 4_000_000
+#: Variants that one prefix should hold, and that are made at a time; the longest prefix.
+PREFIX_VARIANTS, MADE_AT_ONCE, LONGEST = 4_000_000, 4_000_000, 32
+#: Routed rows of a task: what it reads doesn't grow with the table, its number of prefixes does.
+TASK_ROWS = 4_000_000
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 16_384
 
@@ -95,29 +97,38 @@ def _links(fps: np.ndarray, prefix: int, length: int, half: int, out: list[np.nd
 
 
 def _meet(batches: Iterator[pa.RecordBatch], length: int, half: int) -> Iterator[pa.RecordBatch]:
-    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-    if not got:
-        return
-    at, fps = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).view(np.uint64)
-    order = np.argsort(at, kind="stable")
-    at, fps = at[order], fps[order]
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    for i, j in zip(starts, [*starts[1:], len(at)], strict=True):
+    """Rows (at, fp) come sorted by their prefix ``at``; one prefix is held at a time."""
+    here, held = None, []
+
+    def met() -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        _links(fps[i:j], int(at[i]), length, half, out)
+        if here is not None:
+            _links(np.concatenate(held), here, length, half, out)
         for pairs in out:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
 
+    for b in batches:
+        at, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
+        for i, j in zip(cuts, cuts[1:]):
+            if at[i] != here:
+                yield from met()
+                here, held = int(at[i]), []
+            held.append(fps[i:j])
+    yield from met()
+
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a long, b long): links among the distinct fingerprints of column ``fp``, enough for all that is reachable."""
     n, half = fps.count(), radius // 2
     variants = sum(math.comb(BITS, j) for j in range(half + 1))
-    length = min(24, max(4, math.ceil(math.log2(max(2, n * variants / PREFIX_VARIANTS)))))
+    length = min(LONGEST, max(4, math.ceil(math.log2(max(2, n * variants / PREFIX_VARIANTS)))))
     masks = F.array(*[F.lit(m) for m in _near(length, half)])
     head = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(BITS - length))
     routed = fps.select(F.explode(F.transform(masks, lambda m: head.bitwiseXOR(m).cast("long"))).alias("at"), "fp")
-    met = routed.repartition(1 << max(2, length - 1), "at").mapInArrow(lambda bs: _meet(bs, length, half), "a long, b long")
+    routes = n * sum(math.comb(length, j) for j in range(half + 1))
+    tasks = min(1 << length, max(fps.sparkSession.sparkContext.defaultParallelism * 4, math.ceil(routes / TASK_ROWS)))
+    met = routed.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(lambda bs: _meet(bs, length, half), "a long, b long")
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
