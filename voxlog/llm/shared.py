@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where none is set a local master gets one of our own; a cluster needs a shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxlog-scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
