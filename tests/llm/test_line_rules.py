@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from voxlog.llm import line_dedup
 
 
@@ -5,16 +7,27 @@ def words(i):
     return " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("one", "two", "three", "four", "five"))
 
 
-def test_short_lines_go_where_chance_cannot_explain_them(docs):
+def test_short_lines_go_from_a_share_of_the_documents_on(docs):
     """Boilerplate of one token goes, a common word that stands alone now and then stays, a long line without spaces goes."""
     passage = "这一段话在每一篇文章里都会出现而且没有任何空格所以只算一个词"
     rows = [(i, f"the the the the {words(i)}\nShare.\n{'The.' if i % 3 == 0 else 'Own' + words(i)[:8]}" + (f"\n{passage}" if i < 2 else "")) for i in range(60)]
     rows += [(100, "Rare two"), (101, "Rare two\n---"), *((i, "---\n12") for i in range(200, 220))]
-    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(docs(rows)).collect()}
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(docs(rows), short_share=0.3).collect()}
     assert sum("Share." in t for t in got.values()) == 1 and "Share." in got[0]
     assert sum("The." in t for t in got.values()) == 20
     assert passage in got[0] and passage not in got[1]
     assert got[101] == ["Rare two", "---"] and all(got[i] == ["---", "12"] for i in range(200, 220))
+    got = [r["text"] for r in line_dedup.line_dedup(docs(rows), short_documents=3, short_share=0.0).collect()]
+    assert sum("The." in t for t in got) == 1 and sum("Rare two" in t for t in got) == 2
+
+
+def test_columns_of_clashing_names(docs):
+    df = docs([(1, "a line of five tokens\nb"), (2, "a line of five tokens")])
+    for name in ("_id", "_th", "_gone", "_lines", "_kept", "th", "gone", "row", "lines", "kept", "pos", "t", "short", "n_lines", "a.b"):
+        df = df.withColumn(name, F.lit(name))
+    got = {r["doc_id"]: r.asDict() for r in line_dedup.line_dedup(df).collect()}
+    assert got[1]["n_lines"] == 2 and got[2]["text"] == "" and set(got[1]) == set(df.columns) | {"n_dropped"}
+    assert all(got[1][c] == c for c in df.columns if c not in ("doc_id", "text", "n_lines"))
 
 
 def test_a_leaf_of_many_templates(docs):

@@ -2,11 +2,14 @@
 
 A line's way through the tree is fixed: its token count, then its leading tokens, with tokens that hold a digit or an
 ``@`` read as the wildcard ``<*>``. Within a leaf the variable fields are generalised: a token stays fixed at its place
-where enough of the leaf's different lines have it there, else it becomes a wildcard. Lines of one template recur when
-it stands in several documents; all but the first document (smallest id) lose them.
-
-Only hashes of lines are grouped. Texts of lines are gathered for leaves with several different lines, once for each
-different line; whole texts are shuffled once, to meet the decisions.
+where enough of the leaf's different lines have it there, else it becomes a wildcard. The lines that aren't generalised
+are grouped by the token that most of the leaf's other lines hold and tried again among their own, so that other lines
+of a leaf can't hide a template. Lines of one template recur when it stands in several documents; all but the first
+document (smallest id) lose them.
+
+A text is split once; its lines are written with their hashes, and only those of leaves with several different lines are
+read again as text. A line is known by its leaf and its hash, two 64-bit hashes. Whole texts are shuffled once, to meet
+the decisions.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, table, text_of
 
-#: Leading tokens in the tree; least documents of a recurring template; tokens and characters below which a line is short.
-DEPTH, DOCUMENTS, TOKENS, CHARS = 3, 2, 3, 20
-#: A short line recurs by more than chance in so many documents, and so many times the documents that its words explain.
-SHORT_DOCUMENTS, CHANCE = 5, 10
+#: Leading tokens in the tree; least documents of a recurring template.
+DEPTH, DOCUMENTS = 3, 2
+#: A line of fewer tokens and characters is short. It may recur by chance: it goes where so many documents hold it, and so
+#: large a share of the table's rows, which chance keeps to at every size.
+TOKENS, CHARS, SHORT_DOCUMENTS, SHORT_SHARE = 3, 20, 5, 1 / 500
 #: Least fixed tokens of a generalised template, least share of its tokens, and least share of a leaf's lines, and
 #: lines, that fix a token.
 FIXED_TOKENS, FIXED_SHARE, LINE_SHARE, LINES = 5, 0.7, 0.25, 2
-#: Leaves that are broadcast at most; beyond, the leaves are joined by a shuffle.
-BROADCAST_LEAVES = 1_000_000
+#: Rows (three numbers each) that are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _NO_ID = -(2**63)
 
 
@@ -34,130 +38,127 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*", "<*>")).otherwise(line)
 
 
-def _lines(docs: DataFrame, short_lines: bool) -> DataFrame:
-    """id, th, pos, line (masked), n, short, leaf, h for every line that isn't blank; without short_lines, for those of enough tokens."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """id, th, pos, n, short, leaf, h of every line that isn't blank, and the masked line where it may be generalised."""
     lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     lines = lines.select("id", "th", "pos", masked(F.col("line")).alias("line"))
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    lines = lines.withColumns({"n": tokens, "short": (tokens < TOKENS) & (F.length("line") < CHARS)})
-    lines = lines if short_lines else lines.where(F.col("n") >= TOKENS)
-    return lines.select("id", "th", "pos", "line", "n", "short", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("h"))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    lines = lines.withColumn("n", n).withColumn("short", (F.col("n") < TOKENS) & (F.length("line") < CHARS))
+    return lines.select(
+        "id", "th", "pos", "n", F.when(F.col("short"), F.col("line").rlike(r"\p{L}")).alias("short"), F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("h"),
+        F.when(F.col("n") >= FIXED_TOKENS, F.col("line")).alias("line"),
+    )
 
 
 def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _beyond_chance(docs: DataFrame, lines: DataFrame, recurring: DataFrame, scratch: Scratch) -> DataFrame:
-    """(leaf, t) of the short lines that recur more often than their words explain.
-
-    If the words of short lines were drawn like those of all texts, a line of words of shares p and q would stand in at most
-    n * p * q documents, with n the number of short lines; the line itself doesn't count for its words'
-    shares. That grows as the table does, and so does the count it is held against.
-    """
-    often = scratch.put(recurring.where(F.col("short") & (F.col("docs") >= SHORT_DOCUMENTS)).select("leaf", "t", "docs"))
-    texts = _lines(docs, True).where("short").join(_few(often.withColumnRenamed("t", "h")), ["leaf", "h"]).groupBy("leaf", "h", "docs").agg(F.any_value("line").alias("line"))
-    of = scratch.put(texts.select("leaf", F.col("h").alias("t"), "docs", F.explode(_words(F.replace("line", F.lit("<*>"), F.lit(" ")))).alias("word")))
-    asked = of.select("word", F.col("word").alias("asked")).distinct()
-    counts = scratch.put(docs.select(F.explode(_words(F.col("text"))).alias("word")).join(_few(asked), "word", "left").groupBy("asked").agg(F.count("*").alias("count")))
-    total, n = counts.agg(F.sum("count")).first()[0], lines.where("short").count()
-    by_words = of.join(counts.where("asked is not null").withColumnRenamed("asked", "word"), "word").groupBy("leaf", "t", "docs").agg(F.sum(F.log(F.greatest(F.col("count") - F.col("docs"), F.lit(1)) / F.lit(total or 1))).alias("log"))
-    return scratch.put(by_words.where(F.col("docs") >= CHANCE * n * F.exp("log")).select("leaf", "t"))
-
-
-def _generalised(docs: DataFrame, lines: DataFrame, scratch: Scratch, short_lines: bool, split_leaves: bool) -> DataFrame:
+def _generalised(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf, h, template) for the lines whose variable fields are generalised.
 
-    With ``split_leaves`` the other lines of a leaf are grouped by the token that most of the group's lines hold, of those
-    that aren't fixed, and are tried again among their own. Such a group is less than LINE_SHARE of the one it is
-    taken from, so that the rounds grow with the logarithm of the largest leaf.
+    A group of the lines that are left is less than LINE_SHARE of the one it is taken from, so the rounds grow with the
+    logarithm of the largest leaf.
     """
-    several = lines.where(F.col("n") >= FIXED_TOKENS).groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("leaf")
-    several = scratch.put(several)
-    texts = _lines(docs, short_lines).join(_few(several), "leaf", "left_semi").groupBy("leaf", "h").agg(F.any_value("line").alias("line"))
+    several = scratch.put(lines.where("line is not null").groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("leaf"))
+    texts = lines.where("line is not null").join(_few(several), "leaf", "left_semi").groupBy("leaf", "h").agg(F.any_value("line").alias("line"))
     tokens = scratch.put(texts.select("leaf", "h", F.posexplode(F.split("line", " ")).alias("at", "token")).select("leaf", "h", "at", F.xxhash64("token").alias("token")))
     done, group = [], tokens.withColumn("group", F.col("leaf"))
     while True:
         variants = group.where("at = 0").groupBy("group").agg(F.count("*").alias("variants"))
         seen = group.groupBy("group", "at", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= LINES).join(variants, "group")
-        seen = seen.select("group", "at", "token", "lines", "variants", (F.col("lines") >= LINE_SHARE * F.col("variants")).alias("fixed"))
+        seen = seen.select("group", "at", "token", "lines", (F.col("lines") >= LINE_SHARE * F.col("variants")).alias("fixed"))
         held = group.join(seen, ["group", "at", "token"], "left")
         anchor = F.max(F.when(~F.col("fixed"), F.struct("lines", "at", "token")))
         templates = held.groupBy("leaf", "group", "h").agg(
             F.count("*").alias("n"), F.count_if("fixed").alias("fixed"), F.bit_xor(F.when(F.col("fixed"), F.xxhash64("at", "token"))).alias("template"), anchor.alias("anchor")
         )
         whole = (F.col("fixed") >= FIXED_TOKENS) & (F.col("fixed") >= FIXED_SHARE * F.col("n"))
-        if not split_leaves:
-            return templates.where(whole).select("leaf", "h", "template")
         templates = scratch.put(templates.withColumn("whole", whole))
         done.append(templates.where("whole").select("leaf", "h", "template"))
-        rest = scratch.put(templates.where("not whole and anchor is not null").select("leaf", "h", F.xxhash64("group", "anchor.at", "anchor.token").alias("group")))
-        if not rest.count():
+        rest = templates.where("not whole and anchor is not null")
+        if rest.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        group = scratch.put(tokens.join(rest, ["leaf", "h"]))
+        group = scratch.put(tokens.join(rest.select("leaf", "h", F.xxhash64("group", "anchor.at", "anchor.token").alias("group")), ["leaf", "h"]))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, short_lines: bool = True, split_leaves: bool = True) -> DataFrame:
-    """``df`` with the text cut to the lines that stay, and n_lines, n_dropped added.
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, short_documents: int = SHORT_DOCUMENTS, short_share: float = SHORT_SHARE) -> DataFrame:
+    """``df`` with the text cut to the lines that stay, and n_lines, n_dropped (long) added or replaced.
 
-    Lines are what newlines separate; blank ones are never dropped. Short ones, of one or two tokens and less than CHARS
-    characters, go where they recur in more documents than chance explains (see ``_beyond_chance``); those without a letter
-    stay. Without ``short_lines`` every line of one or two tokens stays. A line that recurs only within its document stays.
+    Lines are what newlines separate; blank ones are never dropped. A line goes from ``documents`` documents on; a short
+    one (fewer than TOKENS tokens and CHARS characters) with a letter from ``short_documents`` on that are at least
+    ``short_share`` of the rows, and one without a letter stays. A line that recurs only within its document stays.
     Rows that repeat an id and a text are one document and are cut alike; a null id ranks before all others. A null text
-    stays null; a text may become empty. Other columns pass through, an empty table gives an empty result.
+    stays null; a text may become empty. Other columns pass through whatever their names, an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "line-dedup")
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(text_of(text_col)))
-    docs = df.select(key[0].alias("id"), key[1].alias("th"), text_of(text_col).alias("text"))
-    lines = scratch.put(_lines(docs, short_lines).drop("line"))
-    merged = scratch.put(_generalised(docs, lines, scratch, short_lines, split_leaves))
-    lines = scratch.put(lines.join(merged, ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short"))
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
+    lines = scratch.put(_lines(df.select(*key, text_of(text_col).alias("text"))))
+    merged = scratch.put(_generalised(lines, scratch))
+    lines = scratch.put(lines.drop("line").join(_few(merged), ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short"))
     once = lines.groupBy("leaf", "t", "id", "th").agg(F.max("short").alias("short"))
-    recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th"), F.max("short").alias("short")).where(F.col("docs") >= documents)
-    recurring = scratch.put(recurring)  # joined from a written table, so that a template that most documents hold can be split
-    if short_lines:
-        recurring = recurring.where("not short").unionByName(recurring.join(_few(_beyond_chance(docs, lines, recurring, scratch)), ["leaf", "t"], "left_semi"))
-    recurring = recurring.drop("short")
+    recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th"), F.max("short").alias("short"))
+    often = max(short_documents, short_share * df.count())
+    recurring = recurring.where((F.col("short").isNull() & (F.col("docs") >= documents)) | (F.col("short") & (F.col("docs") >= often)))
+    recurring = scratch.put(recurring.drop("docs", "short"))  # joined from a written table, so that a template that most documents hold can be split
     gone = lines.join(recurring, ["leaf", "t"]).where((F.col("id") != F.col("first")) | (F.col("th") != F.col("first_th")))
-    gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"id": "_id", "th": "_th"})
-    whole = df.withColumns({"_id": key[0], "_th": key[1]}).join(gone, ["_id", "_th"], "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    whole = whole.withColumns({"_lines": split, "_kept": kept})
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.col("_lines")[i]), "\n"))
-    return whole.withColumns({text_col: text, "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_id", "_th", "_gone", "_lines", "_kept")
+    gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
+    names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    whole = df.select(*key, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).join(gone, ["id", "th"], "left")
+    old = F.col("row").getField(text_col)
+    whole = whole.select("row", "gone", F.split(old, "\n").alias("lines"))
+    whole = whole.select("row", "gone", "lines", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")).alias("kept"))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform("kept", lambda i: F.col("lines")[i]), "\n"))
+    return whole.select(
+        *[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it: lines of one or two tokens stay, and leaves aren't split."""
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=False, split_leaves=False)
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Rounds of the tree that the SQL spells out: a leaf of 0.25 ** -7 different lines needs no more.
+ROUNDS = 8
+
+
+def _round_sql(k: int) -> str:
+    """Round k of a leaf's templates: m{k} has a row per line, e{k + 1} the tokens of the lines that are tried again."""
+    return f"""
+v{k} as materialized (select leaf, g, count(*) as variants from e{k} where i = 1 group by all),
+s{k} as materialized (
+  select leaf, g, i, token, count(*) as lines, count(*) >= 0.25 * variants as fixed from e{k} join v{k} using (leaf, g) group by leaf, g, i, token, variants having count(*) >= 2),
+m{k} as materialized (
+  select leaf, g, tokens, list(case when fixed then token else '<*>' end order by i) as template, count(*) filter (fixed) as fixed,
+    max({{'lines': lines, 'i': i, 'token': token}}) filter (not fixed) as anchor
+  from e{k} left join s{k} using (leaf, g, i, token) group by leaf, g, tokens),
+e{k + 1} as materialized (
+  select leaf, g || chr(31) || anchor.i || chr(31) || anchor.token as g, tokens, generate_subscripts(tokens, 1) as i, unnest(tokens) as token
+  from m{k} where not (fixed >= 5 and fixed >= 0.7 * len(tokens)) and anchor is not null),"""
 
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 with l as (
   select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from documents),
-m as (
+n as (
   select doc_id, pos, list_transform(string_split(line, ' '), lambda x: case when regexp_matches(x, '[0-9@]') then '<*>' else x end) as tokens
   from l where trim(line) <> ''),
-k as (select doc_id, pos, tokens, struct_pack(n := len(tokens), lead := list_slice(tokens, 1, 3)) as leaf from m where len(tokens) >= 3),
+k as materialized (
+  select doc_id, pos, tokens, struct_pack(n := len(tokens), lead := list_slice(tokens, 1, 3)) as leaf,
+    case when len(tokens) < 3 and length(array_to_string(tokens, ' ')) < 20 then regexp_matches(array_to_string(tokens, ' '), '\p{{L}}') end as short from n),
 d as (select distinct leaf, tokens from k where len(tokens) >= 5),
-e as (select leaf, tokens, generate_subscripts(tokens, 1) as i, unnest(tokens) as token from (
-    select *, count(*) over (partition by leaf) as v from d) where v > 1),
-v as (select leaf, count(*) as variants from d group by leaf having count(*) > 1),
-f as (
-  select leaf, i, token from e join v using (leaf) group by leaf, i, token, v.variants
-  having count(*) >= 2 and count(*) >= 0.25 * v.variants),
-g as (
-  select e.leaf, e.tokens, list(case when f.i is null then '<*>' else e.token end order by e.i) as template, count(f.i) as fixed
-  from e left join f on e.leaf = f.leaf and e.i = f.i and e.token = f.token group by e.leaf, e.tokens),
-t as (
-  select k.doc_id, k.pos, k.leaf, case when g.fixed >= 5 and g.fixed >= 0.7 * len(k.tokens) then {'g': true, 't': g.template} else {'g': false, 't': k.tokens} end as t
+e0 as materialized (select leaf, '' as g, tokens, generate_subscripts(tokens, 1) as i, unnest(tokens) as token from (
+    select *, count(*) over (partition by leaf) as v from d) where v > 1),{"".join(map(_round_sql, range(ROUNDS)))}
+g as (select leaf, tokens, template from ({" union all ".join(f"select * from m{k}" for k in range(ROUNDS))}) where fixed >= 5 and fixed >= 0.7 * len(tokens)),
+t as materialized (
+  select k.doc_id, k.pos, k.leaf, k.short, case when g.template is not null then {{'g': true, 't': g.template}} else {{'g': false, 't': k.tokens}} end as t
   from k left join g on k.leaf = g.leaf and k.tokens = g.tokens),
-r as (select leaf, t, min(doc_id) as first from t group by leaf, t having count(distinct doc_id) >= 2),
+r as (
+  select leaf, t, min(doc_id) as first from t group by leaf, t
+  having case when bool_or(short) is null then count(distinct doc_id) >= 2
+    else bool_or(short) and count(distinct doc_id) >= greatest(5, (select count(*) from documents) / 500) end),
 x as (select t.doc_id, t.pos from t join r on t.leaf = r.leaf and t.t = r.t where t.doc_id <> r.first),
 y as (
   select l.doc_id, count(*) as n_lines, count(x.pos) as n_dropped, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (x.pos is null), '') as text
