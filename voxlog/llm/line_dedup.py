@@ -94,8 +94,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
     scratch = Scratch(df.sparkSession, "line-dedup")
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
     lines = scratch.put(_lines(df.select(*key, text_of(text_col).alias("text"))))
-    merged = scratch.put(_generalised(lines, scratch))
-    lines = scratch.put(lines.drop("line").join(_few(merged), ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short"))
+    tree = Scratch(df.sparkSession, "line-dedup-tree")
+    merged = scratch.put(_generalised(lines, tree))
+    tree.clear()
+    named = lines.drop("line").join(_few(merged), ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short")
+    read, lines = lines, scratch.put(named)
+    scratch.drop(read, merged)
     once = lines.groupBy("leaf", "t", "id", "th").agg(F.max("short").alias("short"))
     recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th"), F.max("short").alias("short"))
     often = max(short_documents, short_share * df.count())

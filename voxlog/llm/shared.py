@@ -48,6 +48,12 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+    def clear(self) -> None:
+        """Removes all tables, once nothing lazy depends on any."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
