@@ -188,7 +188,7 @@ def brute_perplexity(trusted, texts):
 
     def p(g):
         if not g:
-            return 1 / 2**16
+            return kneser_ney.UNIFORM
         n = len(g)
         if g[:-1] not in context[n]:
             return p(g[1:])
@@ -205,7 +205,7 @@ def brute_perplexity(trusted, texts):
 
 
 def test_perplexity_equals_brute_force(spark, docs):
-    rows = [(r["doc_id"], r["text"][:400]) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(40).collect()] + [(900, "日本語 ünï"), (901, ""), (902, "a")]
+    rows = [(r["doc_id"], r["text"][:400]) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(40).collect()] + [(900, "日本語 ünï"), (901, ""), (902, "a"), (903, "\U0001f600 \U00020f00"), (904, "\U0001f600 \U0001f600")]
     df = docs(rows).withColumn("lang", F.lit("en"))
     trusted = spark.createDataFrame([(i,) for i, _ in rows if i % 3], "doc_id long")
     got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(df, trusted).collect()}
@@ -213,6 +213,25 @@ def test_perplexity_equals_brute_force(spark, docs):
     assert {i: p and round(p, 6) for i, p in got.items()} == {i: p and round(p, 6) for i, p in want.items()}
 
 
+def test_keys_of_any_alphabet():
+    """Ranks, which alphabets of many characters need, tell n-grams apart as packed places do."""
+    s, ends, _ = kneser_ney._codes(["the cat sat on the mat", "日本語 \U0001f600\U00020f00 the"])
+    for bits in (63, 0):
+        keys = kneser_ney.Keys(np.unique(s), bits)
+        learnt = keys.learn(s, ends)
+        grams = ["".join(map(chr, s[e - kneser_ney.ORDER + 1 : e + 1])) for e in ends]
+        assert len(set(learnt.tolist())) == len(set(grams)) and keys.packed == (bits == 63)
+        assert (keys.of(s, ends) == learnt).all()
+
+
+def test_blocks_do_not_change_scores(spark, docs, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    trusted = df.select("doc_id").where("doc_id % 3 = 0")
+    first = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(df, trusted).collect()}
+    again = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(df.repartition(3), trusted).collect()}
+    assert {i: p and round(p, 6) for i, p in again.items()} == {i: p and round(p, 6) for i, p in first.items()}
+
+
 def test_classifier_accuracy(spark):
     """Held out: half of the labels train, the other half judges."""
     d = "/root/testdata/sf0.01"

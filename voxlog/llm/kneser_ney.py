@@ -1,14 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Character n-grams are packed into one long, 16 bits a character. Counting and scoring are joins sharded by n-gram:
+N-grams of ORDER characters reach across words, so their number grows with the corpus. They are strings, of any
+characters. Counting and scoring are joins sharded by n-gram:
 
-1. every scan block (a file split) gives its different n-grams with their counts in trusted text;
-2. counts, continuation counts and context sums of every order are grouped by n-gram, and the probabilities of all
-   n-grams that occur anywhere are joined together order by order;
-3. each block's n-grams are joined with their probabilities and meet the block's texts, compressed, which are scored
-   there.
+1. trusted text gives its n-grams with their counts; counts, continuation counts and context sums of every order are
+   grouped by n-gram;
+2. all text is cut into blocks of bounded bytes, written with their different n-grams and their texts, compressed; the
+   probabilities of all n-grams that occur anywhere are joined together order by order;
+3. each block's n-grams are joined with their probabilities and meet the block's texts, which are scored there.
 
-Nothing is broadcast but ids below a checked number. Thresholds are quantiles of trusted documents' perplexity, by language.
+Only ids below a checked number are broadcast. Thresholds are quantiles of trusted documents' perplexity, by language.
 """
 
 from __future__ import annotations
@@ -17,97 +18,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table, text_of
 
-ORDER, BITS = 4, 16
-#: Of trusted documents, by language, the share of perplexities up to which a document is kept, and the slack beyond it.
-#: The mean over few characters varies more, so a text of n characters is given exp(SHORT / sqrt(n)) times the limit.
-QUANTILE, SLACK, SHORT = 0.99, 1.05, 1.0
+#: Characters of an n-gram; the probability of a character of which nothing is known: one of all code points.
+ORDER, UNIFORM = 6, 1 / 0x110000
+#: Of trusted documents, by language, the share up to whose excess a document is kept, and the slack on it. The mean over
+#: few characters varies more: a text of n characters is allowed 1 + SHORT / sqrt(n) times the excess of a long one.
+QUANTILE, SLACK, SHORT = 0.99, 1.1, 15.0
+#: Held-out documents that tell a language's median.
+FEW = 30
 #: One in so many trusted documents isn't trained on: unseen text is what the limits must hold for.
 HELD_OUT = 4
-#: Characters handled at a time; ids that are broadcast at most; blocks of a table that isn't read from files.
-CHARS_AT_ONCE, BROADCAST_IDS, BLOCKS = 1 << 21, 2_000_000, 64
-_MASK = (1 << BITS) - 1
+#: Bytes of text handled at a time; bytes of text of a block; n-grams that a task gathers before it passes them on; ids
+#: (a number each) that are broadcast at most.
+BYTES_AT_ONCE, BLOCK_BYTES, GRAMS_HELD, BROADCAST_IDS = 1 << 21, 32 << 20, 2_000_000, 200_000
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, and the characters of each text."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, each after its padding; where n-grams end; the characters of each text."""
     pad = "\0" * (ORDER - 1)
     n = np.fromiter(map(len, texts), np.int64, len(texts))
-    s = np.frombuffer("".join([pad + t for t in texts]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    s = np.where(s > _MASK, np.uint64(0xE000) + s * np.uint64(2654435761) % np.uint64(0x1900), s)
+    s = np.frombuffer("".join([pad + t for t in texts]).encode("utf-32-le"), np.uint32)
     own = np.ones(len(s), bool)
     starts = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
     for i in range(ORDER - 1):
         own[starts + i] = False
-    k = s.copy()
-    for i in range(1, ORDER):
-        k[i:] |= s[:-i] << np.uint64(BITS * i)
-    return k[own], n
+    return s, np.flatnonzero(own), n
 
 
-def _chunks(b: pa.RecordBatch, chars: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about CHARS_AT_ONCE bytes of text."""
+class Keys:
+    """Numbers for n-grams over an alphabet: characters' places side by side where 63 bits hold them, else ranks order by order."""
+
+    def __init__(self, alphabet: np.ndarray, bits: int = 63):
+        self.place = np.zeros(0x110000, np.int64)
+        self.place[alphabet] = np.arange(len(alphabet))
+        self.size = max(2, len(alphabet))
+        self.bits = (self.size - 1).bit_length()
+        self.packed, self.ranks = self.bits * ORDER <= bits, []
+
+    def learn(self, s: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keys of the n-grams that end at ``ends``; later ones must be among them."""
+        return self._keys(s, ends, True)
+
+    def of(self, s: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self._keys(s, ends, False)
+
+    def _keys(self, s: np.ndarray, ends: np.ndarray, learn: bool) -> np.ndarray:
+        c = self.place[s]
+        k = c[ends - ORDER + 1]
+        for i in range(ORDER - 2, -1, -1):
+            if self.packed:
+                k = k << self.bits | c[ends - i]
+                continue
+            k = k * self.size + c[ends - i]
+            if learn:
+                self.ranks.append(np.unique(k))
+            k = np.searchsorted(self.ranks[ORDER - 2 - i], k)
+        return k
+
+
+def _different(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The different n-grams of texts and their counts."""
+    s, ends, _ = _codes(texts)
+    if not len(ends):
+        return pa.array([], pa.string()), np.empty(0, np.int64)
+    _, first, counts = np.unique(Keys(np.unique(s)).learn(s, ends), return_index=True, return_counts=True)
+    at = ends[first]
+    whole = s[at[:, None] - np.arange(ORDER - 1, -1, -1)[None, :]].tobytes().decode("utf-32-le")
+    return pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], pa.string()), counts.astype(np.int64)
+
+
+def _chunks(b: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of a batch of about BYTES_AT_ONCE bytes of text, with their bytes."""
     at, size = 0, 0
-    for i, n in enumerate(chars.to_pylist()):
+    for i, n in enumerate(pc.binary_length(b.column(text)).to_pylist()):
         size += n
-        if size >= CHARS_AT_ONCE:
-            yield b.slice(at, i + 1 - at)
+        if size >= BYTES_AT_ONCE:
+            yield b.slice(at, i + 1 - at), size
             at, size = i + 1, 0
     if at < b.num_rows:
-        yield b.slice(at)
-
+        yield b.slice(at), size
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns block, trained, text -> block, gram, its count in text that is trained on."""
-    import pyarrow.compute as pc
 
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _summed(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")]).rename_columns(["gram", "n"]) if len(held) > 1 else held[0]
 
-    def merge(block: int, grams: np.ndarray, counts: np.ndarray) -> None:
-        if block in held:
-            old = held[block]
-            grams, where = np.unique(np.concatenate((old[0], grams)), return_inverse=True)
-            counts = np.bincount(where, np.concatenate((old[1], counts))).astype(np.int64)
-        held[block] = grams, counts
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> gram, its count so far."""
+    held: list[pa.Table] = []
     for whole in batches:
-        for b in _chunks(whole, pc.binary_length(whole.column(2))):
-            blocks, trusted = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            for block in np.unique(blocks).tolist():
-                for good in (True, False):
-                    rows = np.flatnonzero((blocks == block) & (trusted == good))
-                    if len(rows):
-                        g, c = np.unique(_grams(b.column(2).take(pa.array(rows)).to_pylist())[0], return_counts=True)
-                        merge(block, g, c if good else np.zeros_like(c))
-    for block, (g, c) in held.items():
-        for i in range(0, len(g), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g[part]), block)), pa.array(g[part].view(np.int64)), pa.array(c[part])], ["block", "gram", "n"])
-
-
-def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns block, trusted, text, id, lang -> block, parcel: some rows of a block, compressed."""
-    import pyarrow.compute as pc
+        for b, _ in _chunks(whole, 0):
+            grams, counts = _different(b.column(0).to_pylist())
+            held.append(pa.table({"gram": grams, "n": counts}))
+            if sum(t.num_rows for t in held) >= GRAMS_HELD:
+                held = [_summed(held)]
+                if held[0].num_rows >= GRAMS_HELD // 2:
+                    yield from held.pop().to_batches(1 << 16)
+    if held:
+        yield from _summed(held).to_batches(1 << 16)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, id, lang -> block, kind, gram, parcel: a block's rows, compressed (kind 1), then its different n-grams (kind 0)."""
+    from pyspark import TaskContext
 
     options = pa.ipc.IpcWriteOptions(compression="zstd")
+    block, size = TaskContext.get().partitionId() << 32, 0
+    held: list[pa.Table] = []
+
+    def rows(kind: int, grams: pa.Array, parcels: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(np.full(len(grams), kind, np.int32)), grams, parcels], ["block", "kind", "gram", "parcel"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for part in _summed(held).select(["gram"]).to_batches(1 << 16):
+            yield rows(0, part.column(0), pa.nulls(part.num_rows, pa.binary()))
+        held.clear()
+
     for whole in batches:
-        for b in _chunks(whole, pc.binary_length(whole.column(2))):
-            blocks, out = b.column(0).to_numpy(), []
-            for block in np.unique(blocks).tolist():
-                part = b.take(pa.array(np.flatnonzero(blocks == block)))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=options) as w:
-                    w.write_batch(part)
-                out.append((block, sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["block", "parcel"])
+        for b, n in _chunks(whole, 0):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=options) as w:
+                w.write_batch(b)
+            yield rows(1, pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+            grams, counts = _different(b.column(0).to_pylist())
+            held.append(pa.table({"gram": grams, "n": counts}))
+            if len(held) == 8:
+                held[:] = [_summed(held)]
+            size += n
+            if size >= BLOCK_BYTES:
+                yield from done()
+                block, size = block + 1, 0
+    if held:
+        yield from done()
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows block, kind, gram, logp, parcel, sorted: a block's n-grams (kind 0) in order, then its parcels (kind 1)."""
+    """Rows block, kind, gram, logp, parcel, sorted: a block's n-grams (kind 0), then its parcels (kind 1)."""
     here, grams, logs, made = None, [], [], None
     for b in batches:
         block, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -116,32 +167,34 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block[i] != here:
                 here, grams, logs, made = block[i], [], [], None
             if kind[i] == 0:
-                grams.append(b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False))
+                grams.append("".join(b.column(2).slice(i, j - i).to_pylist()))
                 logs.append(b.column(3).slice(i, j - i).to_numpy(zero_copy_only=False))
                 continue
             if made is None:
-                g = np.concatenate(grams).view(np.uint64) if grams else np.empty(0, np.uint64)
-                order = np.argsort(g)
-                made = g[order], (np.concatenate(logs) if logs else np.empty(0))[order]
+                s = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
+                keys = Keys(np.unique(s))
+                k = keys.learn(s, np.arange(ORDER - 1, len(s), ORDER))
+                order = np.argsort(k)
+                made, grams = (k[order], (np.concatenate(logs) if logs else np.empty(0))[order]), []
             for parcel in b.column(4).slice(i, j - i):
                 for rows in pa.ipc.open_stream(parcel.as_py()):
-                    k, n = _grams(rows.column(2).to_pylist())
-                    log = made[1][np.searchsorted(made[0], k)] if len(k) else np.empty(0)
+                    s, ends, n = _codes(rows.column(0).to_pylist())
+                    log = made[1][np.searchsorted(made[0], keys.of(s, ends))] if len(ends) else np.empty(0)
                     sums = np.bincount(np.repeat(np.arange(len(n)), n), log, len(n))
                     with np.errstate(invalid="ignore", divide="ignore"):
                         ppl = np.exp(-sums / n)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column(3), rows.column(4), rows.column(1), pa.array(n), pa.array(ppl, mask=n == 0)], ["id", "lang", "trusted", "chars", "perplexity"]
-                    )
+                    yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(n), pa.array(ppl, mask=n == 0)], ["id", "lang", "chars", "perplexity"])
 
 
 def _probabilities(grams: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(gram, p) for the different n-grams of ``grams``, from the n-gram counts (gram, n) of trusted text."""
-    unsigned = lambda c, by: F.call_function("shiftrightunsigned", c, F.lit(by))
-    low = lambda c, n: c if n * BITS >= 64 else c.bitwiseAND(F.lit((1 << n * BITS) - 1))
+    last = lambda c, size, n: F.substring(c, size - n + 1, n)
     by_order = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: different characters before it
-        by_order[n] = scratch.put(by_order[n + 1].groupBy(low(F.col("gram"), n).alias("gram")).agg(F.count("*").alias("n")))
+        by_order[n] = scratch.put(by_order[n + 1].groupBy(last(F.col("gram"), n + 1, n).alias("gram")).agg(F.count("*").alias("n")))
+    asked = {ORDER: grams}
+    for n in range(ORDER - 1, 0, -1):
+        asked[n] = scratch.put(asked[n + 1].select(last(F.col("gram"), n + 1, n).alias("gram")).distinct())
     p = None
     for n in range(1, ORDER + 1):
         c = by_order[n]
@@ -150,13 +203,12 @@ def _probabilities(grams: DataFrame, counts: DataFrame, scratch: Scratch) -> Dat
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         d = [min(max(x, 0.01), i) for i, x in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        context = c.groupBy(unsigned(F.col("gram"), BITS).alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("taken"))
+        context = c.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("taken"))
         held = c.select("gram", (F.col("n") - off).alias("left"))
-        asked = grams.select(low(F.col("gram"), n).alias("gram")).distinct().withColumn("context", unsigned(F.col("gram"), BITS))
-        joined = asked.join(held, "gram", "left").join(context, "context", "left")
-        lower = F.lit(1.0 / (1 << BITS)) if p is None else F.col("lower")
+        joined = asked[n].withColumn("context", F.substring("gram", 1, n - 1)).join(held, "gram", "left").join(context, "context", "left")
+        lower = F.lit(UNIFORM) if p is None else F.col("lower")
         if p is not None:
-            joined = joined.withColumn("short", low(F.col("gram"), n - 1)).join(p.select(F.col("gram").alias("short"), F.col("p").alias("lower")), "short")
+            joined = joined.withColumn("short", last(F.col("gram"), n, n - 1)).join(p.select(F.col("gram").alias("short"), F.col("p").alias("lower")), "short")
         mixed = (F.coalesce("left", F.lit(0.0)) + F.col("taken") * lower) / F.col("total")
         p = scratch.put(joined.select("gram", F.when(F.col("total").isNull(), lower).otherwise(mixed).alias("p")))
     return p
@@ -173,44 +225,50 @@ def perplexities(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id",
     ``trusted_ids`` has one column of ids, named as ``id_col``; of these, where ``trains`` is given, the model is trained
     on those for which it holds. With no trusted text every character is equally likely.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "kneser-ney")
-    block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.when(F.input_file_name() == "", F.pmod(F.xxhash64(id_col), F.lit(BLOCKS))))
-    rows = df.select(block.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
+    scratch = Scratch(df.sparkSession, "kneser-ney")
+    rows = df.select(text_of(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
     trained = F.lit(True) if trains is None else trains
     ids = trusted_ids.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
     ids = scratch.put(ids.select(F.col(id_col).alias("id"), trained.alias("trained")))
-    rows = with_ids(rows, "id", ids, "left").select("block", F.col("trained").isNotNull().alias("trusted"), "text", "id", "lang", F.coalesce("trained", F.lit(False)).alias("trained"))
-    counted = scratch.put(rows.select("block", "trained", "text").mapInArrow(_counted, "block long, gram long, n long"))
-    counts = scratch.put(counted.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
-    p = _probabilities(scratch.put(counted.select("gram").distinct()), counts, scratch)
-    known = counted.select("block", "gram").distinct().join(p, "gram")
-    known = known.select("block", F.lit(0).alias("kind"), "gram", F.log("p").alias("logp"), F.lit(None).cast("binary").alias("parcel"))
-    parcels = rows.select("block", "trusted", "text", "id", "lang").mapInArrow(_parcels, "block long, parcel binary").select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "parcel")
-    met = known.unionByName(parcels).repartition("block").sortWithinPartitions("block", "kind")
-    return met.mapInArrow(_scored, "id long, lang string, trusted boolean, chars long, perplexity double").withColumnRenamed("id", id_col)
+    learnt = with_ids(rows, "id", scratch.put(ids.where("trained").select("id")), "left_semi")
+    counts = scratch.put(learnt.select("text").mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    seen = scratch.put(rows.mapInArrow(_blocked, "block long, kind int, gram string, parcel binary"))
+    parcels, grams = seen.where("kind = 1"), seen.where("kind = 0").select("block", "gram")
+    p = _probabilities(scratch.put(grams.select("gram").distinct()), counts, scratch)
+    known = grams.join(p, "gram").select("block", F.lit(0).alias("kind"), "gram", F.log("p").alias("logp"), F.lit(None).cast("binary").alias("parcel"))
+    blocks = parcels.select("block").distinct().count()
+    met = known.unionByName(parcels.withColumn("logp", F.lit(None).cast("double"))).repartition(max(1, blocks), "block").sortWithinPartitions("block", "kind")
+    scores = scratch.put(met.mapInArrow(_scored, "id long, lang string, chars long, perplexity double"))
+    scratch.drop(seen, p)
+    return with_ids(scores, "id", ids, "left").select(F.col("id").alias(id_col), "lang", F.col("trained").isNotNull().alias("trusted"), "chars", "perplexity")
 
 
 def quality(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """One row per row of ``df``: id, lang, perplexity, threshold, kept.
 
-    One in HELD_OUT trusted documents only serves to set the limits. A language's threshold is the quantile of their
-    perplexities, or the median times the quantile of all languages' perplexities over their medians if that is larger
-    (few documents say little about a quantile), times ``slack``, more for short texts (see SHORT). A language without such
-    documents, and a null one, takes the quantile of all. Texts without characters are not kept. Without any trusted text
+    One in HELD_OUT trusted documents only serves to set the limits. A document's excess is the logarithm of its perplexity
+    over its language's median, divided by what its length lets expect (see SHORT). A language's limit is the quantile
+    of their excess, or that of all languages if it is larger (few documents say little about a quantile), times
+    ``slack``. A language of fewer than FEW such documents is given the quantile of all perplexities for a median if that is
+    larger, and so are unknown and null languages. Texts without characters are not kept. Without any trusted text
     nothing else is rejected. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "quality")
     ids = trusted_ids.select(F.col(id_col).cast("long").alias(id_col)).distinct()
     held_out = F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0
-    scores = scratch.put(perplexities(df, ids, id_col, text_col, lang_col, ~held_out))
-    seen = scores.where("trusted and perplexity is not null").where(held_out)
-    typical = scratch.put(seen.where("lang is not null").groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("median"), F.percentile_approx("perplexity", quantile, 10_000).alias("high")))
-    wide = with_ids(seen, "lang", typical, "inner").agg(F.percentile_approx(F.col("perplexity") / F.col("median"), quantile, 10_000)).first()[0]
+    scores = perplexities(df, ids, id_col, text_col, lang_col, ~held_out)
+    seen = scratch.put(scores.where("trusted and perplexity is not null").where(held_out))
     overall = seen.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    judged = with_ids(scores, "lang", typical, "left")
-    limit = F.coalesce(F.greatest("high", F.col("median") * F.lit(wide)), F.lit(overall)).cast("double")
-    judged = judged.withColumn("threshold", limit * slack * F.exp(SHORT / F.sqrt(F.greatest("chars", F.lit(1)))))
+    middle = F.percentile_approx("perplexity", 0.5, 10_000)
+    base = F.when(F.count("*") < FEW, F.greatest(middle, F.lit(overall))).otherwise(middle).cast("double")
+    typical = scratch.put(seen.where("lang is not null").groupBy("lang").agg(middle.alias("median"), base.alias("base")))
+    spread = 1 + SHORT / F.sqrt(F.greatest("chars", F.lit(1)))
+    excess = scratch.put(with_ids(seen, "lang", typical, "inner").select("lang", (F.log(F.col("perplexity") / F.col("median")) / spread).alias("excess")))
+    limits = scratch.put(excess.groupBy("lang").agg(F.percentile_approx("excess", quantile, 10_000).alias("high")).join(typical, "lang"))
+    wide = excess.agg(F.percentile_approx("excess", quantile, 10_000)).first()[0]
+    judged = with_ids(scores, "lang", limits, "left")
+    limit = F.greatest("high", F.lit(wide).cast("double"))
+    judged = judged.withColumn("threshold", F.coalesce("base", F.lit(overall).cast("double")) * F.exp(slack * F.coalesce(limit, F.lit(0.0)) * spread))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("perplexity").isNotNull())
     return judged.select(id_col, "lang", "perplexity", "threshold", kept.alias("kept"))
 
