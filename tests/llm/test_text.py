@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,16 +219,23 @@ def test_keys_of_any_alphabet():
     s, ends, _ = kneser_ney._codes(["the cat sat on the mat", "日本語 \U0001f600\U00020f00 the"])
     for bits in (63, 0):
         keys = kneser_ney.Keys(np.unique(s), bits)
-        learnt = keys.learn(s, ends)
+        learnt = keys.of(s, ends, True)
         grams = ["".join(map(chr, s[e - kneser_ney.ORDER + 1 : e + 1])) for e in ends]
         assert len(set(learnt.tolist())) == len(set(grams)) and keys.packed == (bits == 63)
         assert (keys.of(s, ends) == learnt).all()
+        codes, counts = keys.different(s, ends)
+        assert sorted(zip(["".join(map(chr, c)) for c in codes], counts.tolist(), strict=True)) == sorted((g, grams.count(g)) for g in set(grams))
 
 
 def test_blocks_do_not_change_scores(spark, docs, monkeypatch):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     trusted = df.select("doc_id").where("doc_id % 3 = 0")
     first = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(df, trusted).collect()}
+    batches = [pa.record_batch({"split": [1] * 50, "text": ["x" * 900_000] * 50}), pa.record_batch({"split": [1] * 30 + [2] * 20, "text": ["y" * 900_000] * 50})]
+    cut = [(b, r.num_rows) for b, r in kneser_ney._parts(iter(batches))]
+    again = [(b, r.num_rows) for b, r in kneser_ney._parts(iter([x.slice(i, 7) for x in batches for i in range(0, 50, 7)]))]
+    rows = lambda parts: {b: sum(n for x, n in parts if x == b) for b, _ in parts}
+    assert rows(cut) == rows(again) and sorted(rows(cut).values()) == [5, 20, 75] and max(n for _, n in cut) <= 3
     again = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(df.repartition(3), trusted).collect()}
     assert {i: p and round(p, 6) for i, p in again.items()} == {i: p and round(p, 6) for i, p in first.items()}
 

@@ -1,13 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-N-grams of ORDER characters reach across words, so their number grows with the corpus. They are strings, of any
-characters. Counting and scoring are joins sharded by n-gram:
+N-grams are strings, of any characters. Counting and scoring are joins sharded by n-gram:
 
 1. trusted text gives its n-grams with their counts; counts, continuation counts and context sums of every order are
    grouped by n-gram;
-2. all text is cut into blocks of bounded bytes, written with their different n-grams and their texts, compressed; the
+2. all text is cut into blocks of bounded bytes, runs of rows of a file split; each gives its different n-grams, and the
    probabilities of all n-grams that occur anywhere are joined together order by order;
-3. each block's n-grams are joined with their probabilities and meet the block's texts, which are scored there.
+3. each block's n-grams are joined with their probabilities and meet the block's texts, compressed, which are scored there.
 
 Only ids below a checked number are broadcast. Thresholds are quantiles of trusted documents' perplexity, by language.
 """
@@ -17,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,17 +25,17 @@ from pyspark.sql import functions as F
 from .shared import Scratch, table, text_of
 
 #: Characters of an n-gram; the probability of a character of which nothing is known: one of all code points.
-ORDER, UNIFORM = 6, 1 / 0x110000
+ORDER, UNIFORM = 4, 1 / 0x110000
 #: Of trusted documents, by language, the share up to whose excess a document is kept, and the slack on it. The mean over
 #: few characters varies more: a text of n characters is allowed 1 + SHORT / sqrt(n) times the excess of a long one.
-QUANTILE, SLACK, SHORT = 0.99, 1.1, 15.0
+QUANTILE, SLACK, SHORT = 0.99, 1.3, 10.0
 #: Held-out documents that tell a language's median.
 FEW = 30
 #: One in so many trusted documents isn't trained on: unseen text is what the limits must hold for.
 HELD_OUT = 4
 #: Bytes of text handled at a time; bytes of text of a block; n-grams that a task gathers before it passes them on; ids
 #: (a number each) that are broadcast at most.
-BYTES_AT_ONCE, BLOCK_BYTES, GRAMS_HELD, BROADCAST_IDS = 1 << 21, 32 << 20, 2_000_000, 200_000
+BYTES_AT_ONCE, BLOCK_BYTES, GRAMS_HELD, BROADCAST_IDS = 1 << 21, 64 << 20, 2_000_000, 200_000
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,54 +54,64 @@ class Keys:
     """Numbers for n-grams over an alphabet: characters' places side by side where 63 bits hold them, else ranks order by order."""
 
     def __init__(self, alphabet: np.ndarray, bits: int = 63):
-        self.place = np.zeros(0x110000, np.int64)
+        self.alphabet, self.place = alphabet, np.zeros(0x110000, np.int32)
         self.place[alphabet] = np.arange(len(alphabet))
         self.size = max(2, len(alphabet))
         self.bits = (self.size - 1).bit_length()
         self.packed, self.ranks = self.bits * ORDER <= bits, []
 
-    def learn(self, s: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Keys of the n-grams that end at ``ends``; later ones must be among them."""
-        return self._keys(s, ends, True)
-
-    def of(self, s: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self._keys(s, ends, False)
-
-    def _keys(self, s: np.ndarray, ends: np.ndarray, learn: bool) -> np.ndarray:
-        c = self.place[s]
+    def of(self, s: np.ndarray, ends: np.ndarray, learn: bool = False) -> np.ndarray:
+        """Keys of the n-grams that end at ``ends``; they must be among those that were learnt."""
+        c = self.place[s].astype(np.int64)
+        if self.packed:
+            k = c.copy()
+            for i in range(1, ORDER):
+                k[i:] |= c[:-i] << (self.bits * i)
+            return k[ends]
         k = c[ends - ORDER + 1]
         for i in range(ORDER - 2, -1, -1):
-            if self.packed:
-                k = k << self.bits | c[ends - i]
-                continue
             k = k * self.size + c[ends - i]
             if learn:
                 self.ranks.append(np.unique(k))
             k = np.searchsorted(self.ranks[ORDER - 2 - i], k)
         return k
 
+    def different(self, s: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the different n-grams, a row each, and their counts."""
+        if self.packed:
+            k, counts = np.unique(self.of(s, ends), return_counts=True)
+            return self.alphabet[np.stack([k >> (self.bits * i) & ((1 << self.bits) - 1) for i in range(ORDER - 1, -1, -1)], 1)], counts
+        _, first, counts = np.unique(self.of(s, ends, True), return_index=True, return_counts=True)
+        return s[ends[first][:, None] - np.arange(ORDER - 1, -1, -1)[None, :]], counts
+
 
 def _different(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """The different n-grams of texts and their counts."""
     s, ends, _ = _codes(texts)
     if not len(ends):
         return pa.array([], pa.string()), np.empty(0, np.int64)
-    _, first, counts = np.unique(Keys(np.unique(s)).learn(s, ends), return_index=True, return_counts=True)
-    at = ends[first]
-    whole = s[at[:, None] - np.arange(ORDER - 1, -1, -1)[None, :]].tobytes().decode("utf-32-le")
+    codes, counts = Keys(np.flatnonzero(np.bincount(s)).astype(np.uint32)).different(s, ends)
+    whole = codes.astype(np.uint32).tobytes().decode("utf-32-le")
     return pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], pa.string()), counts.astype(np.int64)
 
 
-def _chunks(b: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Slices of a batch of about BYTES_AT_ONCE bytes of text, with their bytes."""
-    at, size = 0, 0
-    for i, n in enumerate(pc.binary_length(b.column(text)).to_pylist()):
-        size += n
-        if size >= BYTES_AT_ONCE:
-            yield b.slice(at, i + 1 - at), size
-            at, size = i + 1, 0
-    if at < b.num_rows:
-        yield b.slice(at), size
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Columns split, text, ... -> (block, rows) of about BYTES_AT_ONCE bytes of text.
+
+    A row's block follows from the bytes of its split's rows before it, so it is the same whenever the split is read.
+    """
+    so_far: dict[int, int] = {}
+    for b in batches:
+        split, sizes = b.column(0).to_numpy(), pc.binary_length(b.column(1)).to_numpy().astype(np.int64) + 1
+        runs = [0, *(np.flatnonzero(split[1:] != split[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for i, j in zip(runs, runs[1:]):
+            before = so_far.get(int(split[i]), 0) + np.cumsum(sizes[i:j]) - sizes[i:j]
+            so_far[int(split[i])] = int(before[-1] + sizes[j - 1])
+            at = before // BYTES_AT_ONCE
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), j - i]
+            for k, m in zip(cuts, cuts[1:]):
+                block = (int(split[i]) + int(before[k]) // BLOCK_BYTES * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+                yield block, b.slice(i + k, m - k)
 
 
 def _summed(held: list[pa.Table]) -> pa.Table:
@@ -109,52 +119,47 @@ def _summed(held: list[pa.Table]) -> pa.Table:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> gram, its count so far."""
+    """Columns split, text -> gram, its count so far."""
     held: list[pa.Table] = []
-    for whole in batches:
-        for b, _ in _chunks(whole, 0):
-            grams, counts = _different(b.column(0).to_pylist())
-            held.append(pa.table({"gram": grams, "n": counts}))
-            if sum(t.num_rows for t in held) >= GRAMS_HELD:
-                held = [_summed(held)]
-                if held[0].num_rows >= GRAMS_HELD // 2:
-                    yield from held.pop().to_batches(1 << 16)
+    for _, b in _parts(batches):
+        grams, counts = _different(b.column(1).to_pylist())
+        held.append(pa.table({"gram": grams, "n": counts}))
+        if sum(t.num_rows for t in held) >= GRAMS_HELD:
+            held = [_summed(held)]
+            if held[0].num_rows >= GRAMS_HELD // 2:
+                yield from held.pop().to_batches(1 << 16)
     if held:
         yield from _summed(held).to_batches(1 << 16)
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, id, lang -> block, kind, gram, parcel: a block's rows, compressed (kind 1), then its different n-grams (kind 0)."""
-    from pyspark import TaskContext
-
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    block, size = TaskContext.get().partitionId() << 32, 0
-    held: list[pa.Table] = []
-
-    def rows(kind: int, grams: pa.Array, parcels: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(np.full(len(grams), kind, np.int32)), grams, parcels], ["block", "kind", "gram", "parcel"])
+    """Columns split, text -> block, its different n-grams."""
+    here, held = None, []
 
     def done() -> Iterator[pa.RecordBatch]:
-        for part in _summed(held).select(["gram"]).to_batches(1 << 16):
-            yield rows(0, part.column(0), pa.nulls(part.num_rows, pa.binary()))
+        for part in _summed(held).select(["gram"]).to_batches(1 << 16) if held else ():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, here, np.int64)), part.column(0)], ["block", "gram"])
         held.clear()
 
-    for whole in batches:
-        for b, n in _chunks(whole, 0):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=options) as w:
-                w.write_batch(b)
-            yield rows(1, pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary()))
-            grams, counts = _different(b.column(0).to_pylist())
-            held.append(pa.table({"gram": grams, "n": counts}))
-            if len(held) == 8:
-                held[:] = [_summed(held)]
-            size += n
-            if size >= BLOCK_BYTES:
-                yield from done()
-                block, size = block + 1, 0
-    if held:
-        yield from done()
+    for block, b in _parts(batches):
+        if block != here:
+            yield from done()
+            here = block
+        grams, counts = _different(b.column(1).to_pylist())
+        held.append(pa.table({"gram": grams, "n": counts}))
+        if len(held) == 8:
+            held[:] = [_summed(held)]
+    yield from done()
+
+
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns split, text, id, lang -> block, parcel: some rows of a block, compressed."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for block, b in _parts(batches):
+        rows, sink = b.select(["text", "id", "lang"]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as w:
+            w.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "parcel"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +178,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if made is None:
                 s = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
                 keys = Keys(np.unique(s))
-                k = keys.learn(s, np.arange(ORDER - 1, len(s), ORDER))
-                order = np.argsort(k)
-                made, grams = (k[order], (np.concatenate(logs) if logs else np.empty(0))[order]), []
+                k = keys.of(s, np.arange(ORDER - 1, len(s), ORDER), True)
+                made, grams = (pd.Index(k), np.concatenate(logs) if logs else np.empty(0)), []
             for parcel in b.column(4).slice(i, j - i):
                 for rows in pa.ipc.open_stream(parcel.as_py()):
                     s, ends, n = _codes(rows.column(0).to_pylist())
-                    log = made[1][np.searchsorted(made[0], keys.of(s, ends))] if len(ends) else np.empty(0)
+                    log = made[1][made[0].get_indexer(keys.of(s, ends))] if len(ends) else np.empty(0)
                     sums = np.bincount(np.repeat(np.arange(len(n)), n), log, len(n))
                     with np.errstate(invalid="ignore", divide="ignore"):
                         ppl = np.exp(-sums / n)
@@ -227,19 +231,26 @@ def perplexities(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(df.sparkSession, "kneser-ney")
     rows = df.select(text_of(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    if not rows.where(F.input_file_name() == "").isEmpty():  # not read from files: written, so that it is
+        rows = scratch.put(rows)
+    rows = rows.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"), "text", "id", "lang")
     trained = F.lit(True) if trains is None else trains
     ids = trusted_ids.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
     ids = scratch.put(ids.select(F.col(id_col).alias("id"), trained.alias("trained")))
-    learnt = with_ids(rows, "id", scratch.put(ids.where("trained").select("id")), "left_semi")
-    counts = scratch.put(learnt.select("text").mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    seen = scratch.put(rows.mapInArrow(_blocked, "block long, kind int, gram string, parcel binary"))
-    parcels, grams = seen.where("kind = 1"), seen.where("kind = 0").select("block", "gram")
+    learnt = with_ids(rows.select("split", "text", "id"), "id", scratch.put(ids.where("trained").select("id")), "left_semi")
+    counts = scratch.put(learnt.select("split", "text").mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    grams = scratch.put(rows.select("split", "text").mapInArrow(_blocked, "block long, gram string"))
     p = _probabilities(scratch.put(grams.select("gram").distinct()), counts, scratch)
     known = grams.join(p, "gram").select("block", F.lit(0).alias("kind"), "gram", F.log("p").alias("logp"), F.lit(None).cast("binary").alias("parcel"))
-    blocks = parcels.select("block").distinct().count()
-    met = known.unionByName(parcels.withColumn("logp", F.lit(None).cast("double"))).repartition(max(1, blocks), "block").sortWithinPartitions("block", "kind")
-    scores = scratch.put(met.mapInArrow(_scored, "id long, lang string, chars long, perplexity double"))
-    scratch.drop(seen, p)
+    parcels = rows.mapInArrow(_parcels, "block long, parcel binary").select("block", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "parcel")
+    places = scratch.put(grams.select("block").distinct().coalesce(1).withColumn("place", F.monotonically_increasing_id()))
+    blocks, met = max(1, places.count()), known.unionByName(parcels)
+    if blocks <= BROADCAST_IDS:  # a block a task; beyond, there are so many that hashing spreads them well
+        met = met.join(F.broadcast(places), "block", "left").repartitionById(blocks, F.col("place").cast("int")).drop("place")
+    else:
+        met = met.repartition(blocks, "block")
+    scores = scratch.put(met.sortWithinPartitions("block", "kind").mapInArrow(_scored, "id long, lang string, chars long, perplexity double"))
+    scratch.drop(grams, p, counts)
     return with_ids(scores, "id", ids, "left").select(F.col("id").alias(id_col), "lang", F.col("trained").isNotNull().alias("trusted"), "chars", "perplexity")
 
 
