@@ -8,24 +8,28 @@ DATA = "/root/testdata/sf0.001/events.parquet"
 
 
 def test_stream_into_a_world(spark, tmp_path):
-    log = log_of_events(spark.read.parquet(DATA)).where("region_x = -1")
+    log = log_of_events(spark.read.parquet(DATA)).where("region_x < 0")
     rows = log.selectExpr("dimension", "chunk_x", "chunk_z", "component", "subchunk_y", "cast(batch_id as int) as batch", "ord", "cast(value as binary) as value")
     rows.write.parquet(str(tmp_path / "in"))
     world = World(spark, f"file://{tmp_path}/w")
     ingest(spark.readStream.schema(CHANGES_SCHEMA).parquet(str(tmp_path / "in")), world, str(tmp_path / "cp")).awaitTermination()
     want = {tuple(r[c] for c in KEY): r["value"] for r in live(log).collect()}
+    assert want
     assert {tuple(r[c] for c in KEY): bytes(r["value"]).decode() for r in world.live().collect()} == want
     version = world.commits.state()[0]
     ingest(spark.readStream.schema(CHANGES_SCHEMA).parquet(str(tmp_path / "in")), world, str(tmp_path / "cp2")).awaitTermination()  # the same micro-batch again
     assert world.commits.state()[0] == version
+    again = World(spark, f"file://{tmp_path}/w")  # the number is the commit's own: whoever has the changes has it
+    assert again.commits.state()[0] == version and again.commits.marks == {"ingest": 0}
 
 
 def test_live_updates_and_windows(spark, tmp_path):
-    log = log_of_events(spark.read.parquet(DATA)).where("dimension = 0 and region_x = -1")
+    log = log_of_events(spark.read.parquet(DATA)).where("dimension = 0 and region_x < 0")
     log.select(*[c.split()[0] for c in CHANGES.split(", ")]).coalesce(1).write.parquet(str(tmp_path / "in"))
     q = live_updates(spark.readStream.schema(CHANGES).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("updates").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     want = {tuple(r[c] for c in KEY): r["value"] for r in live(log).collect()}
+    assert want
     assert {tuple(r[c] for c in KEY): r["value"] for r in spark.table("updates").where("value is not null").collect()} == want
     events = spark.readStream.schema(spark.read.parquet(DATA).schema).parquet("/root/testdata/sf0.001/events.parq*")
     q = changes_per_window(events).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()

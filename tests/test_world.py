@@ -73,10 +73,16 @@ def test_no_ops_deletes_and_buffering(spark, tmp_path):
     assert world.last_batch_id(0, 0, 0) == 2
     world.write(rows(spark, put(0, None), put(1, None, 0, 1)))
     assert held(world) == {} and world.regions() == [(0, 0, 0)]
+    other = World(spark, f"file://{tmp_path}/w")
+    last = world.last_batch_id(0, 0, 0)
     world.write(rows(spark, put(5, b"later")), sync=False)
-    assert world.get(0, 5, 0, 0x2C) is None
+    world.write(rows(spark, put(6, b"too"), put(5, b"newer", 0, 1)), sync=False)
+    assert world.get(0, 5, 0, 0x2C) == b"newer" and world.last_batch_id(0, 0, 0) == last + 2  # at once, by this writer
+    with pytest.raises(errors.BatchOrder):
+        world.write(rows(spark, put(5, b"x", 0, 0, 0, 0x2C, 0, last + 1), ids=True), sync=False)
+    assert other.get(0, 5, 0, 0x2C) is None and world.orphans() == [] and other.last_batch_id(0, 0, 0) == last
     world.flush()
-    assert world.get(0, 5, 0, 0x2C) == b"later"
+    assert other.get(0, 5, 0, 0x2C) == b"newer" and other.last_batch_id(0, 0, 0) == last + 2 and world.flush() is None
     world.compact_async(0, 0, 0)
     world.wait()
     world.close()
@@ -123,6 +129,40 @@ def test_auxiliary_records(spark, tmp_path):
     world.aux_put(chunk, b"routed")
     assert world.get(0, 1, 2, 0x2C) == b"routed" and world.aux_get(chunk) == b"routed" and world.aux().count() == 40
     assert world.aux_get(keys[21][0]) == b"" and world.aux_get(b"nothing") is None
+    before = len(world.aux_commits.state()[1]["0000000a.region"]["files"]) if "0000000a.region" in world.aux_commits.state()[1] else 2
+    world.compact_world()
+    state = world.aux_commits.state()[1]
+    assert {bytes(r["key"]): bytes(r["value"]) for r in world.aux().collect()} == dict(keys[20:]) and world.aux_log().count() == 40 and all(len(s["files"]) <= max(1, before) for s in state.values())
+    for k, v in ((bytes(changes.MAX_VALUE + 1), b""), (b"k", bytes(changes.MAX_VALUE + 1))):
+        with pytest.raises(errors.BatchTooLarge):
+            world.aux_put(k, v)
+
+
+def test_counters_outlive_compaction(spark, tmp_path):
+    world = World(spark, f"file://{tmp_path}/w")
+    for i in range(3):
+        world.write(rows(spark, put(0, b"abc"), put(1, None, 0, 1), put(40, b"z", 0, 2)))
+    world.reset_counters()
+    world.write(rows(spark, put(0, b"abcd"), put(1, None, 0, 1)))
+    world.compact_world()
+    with pytest.raises(errors.InvalidArgument):  # what a compaction has merged can't be told apart
+        world.as_of(2)
+    assert world.as_of(4).count() == 2
+    got = World(spark, f"file://{tmp_path}/w").counters()
+    assert {k: got[k] for k in ("writes", "records_written", "deletes", "raw_bytes")} == {"writes": 7, "records_written": 11, "deletes": 4, "raw_bytes": 16} and got["stored_bytes"] > 0
+    now = world.counters()
+    assert {k: now[k] for k in ("writes", "records_written", "deletes", "raw_bytes", "skipped")} == {"writes": 1, "records_written": 2, "deletes": 1, "raw_bytes": 4, "skipped": 0}
+
+
+def test_totals_of_reads_and_pruned_batched_reads(spark, tmp_path):
+    world = World(spark, f"file://{tmp_path}/w")
+    world.write(rows(spark, *[put(40 * i, b"x" * i, 0, i) for i in range(5)], put(0, b"yy", 0, 9, 0, 0x2B)))
+    assert world.list_regions(2) == ([(0, 0, 0), (0, 1, 0)], 5) and world.list_keys(0, 0, 0, 1) == ([(0, 0, 0, 0x2B, 0)], 2)
+    assert world.read_chunk(0, 0, 0, 2, 2) == ([(0x2B, 0, b"yy"), (0x2C, 0, b"")], 2, 2)
+    assert world.read_chunk(0, 0, 0, 1, 99) == ([], 2, 2) and world.read_chunk(0, 0, 0, 9, 1) == ([], 2, 2) and world.read_chunk(0, 7, 7, 1, 1) == ([], 0, 0)
+    asked = spark.createDataFrame([(0, 0, 40, 0, 0x2C, 0, 10)], "request_id int, dimension int, chunk_x int, chunk_z int, component int, subchunk_y int, capacity int")
+    got = world.get_many(asked)
+    assert [bytes(r["value"]) for r in got.collect()] == [b"x"] and len(got.inputFiles()) == 1
 
 
 def test_conflicting_writers(spark, tmp_path):

@@ -4,11 +4,38 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-from .errors import Conflict
+from .errors import Conflict, InvalidArgument
+
+#: Stores where two writers can both rename to one name: a commit there could be lost.
+_NOT_ATOMIC = frozenset("s3 s3a s3n gs oss cos cosn obs swift http https".split())
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where none is set a local master gets one of our own, a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir names no folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="voxlog-work-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Writes a whole file from an executor; a task that is run again replaces it with the same."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(tmp) as out:
+        out.write(data)
+    store.move(tmp, path)
 
 
 class Files:
@@ -77,6 +104,8 @@ class Files:
             finally:
                 os.unlink(tmp)
             return
+        if scheme in _NOT_ATOMIC:
+            raise InvalidArgument(f"{scheme} has no rename that only one of two writers wins")
         target = self._path(self.at(name))
         tmp = self._path(f"{self.at(name)}.{uuid.uuid4().hex}.tmp")
         if self._fs.exists(target):
@@ -112,42 +141,58 @@ class Commits:
     """
 
     CHECKPOINT_EVERY = 32
+    #: What is counted of a region's commits and only grows.
+    TOTALS = ("writes", "records", "deletes", "raw_bytes", "stored_bytes", "skipped")
 
     def __init__(self, files: Files, name: str):
         self.files, self.name = files, name
         self._known: tuple[int, dict] = (0, {})
+        #: The last number committed of each stream.
+        self.marks: dict[str, int] = {}
 
     def _number(self, n: int) -> str:
         return f"{self.name}/{n:020d}.json"
 
     def state(self) -> tuple[int, dict]:
-        """(version, {region: {files, last, base, generation, touched}})."""
+        """(version, {region: {files, last, base, generation, keys, totals, touched}})."""
         names = self.files.list(self.name)
         last = max((int(x[:20]) for x in names if x.endswith(".json") and x[:20].isdigit()), default=0)
         version, regions = self._known
         if version == 0:
             whole = max((int(x[:20]) for x in names if x.endswith(".state")), default=0)
             if whole:
-                version, regions = whole, json.loads(self.files.read(f"{self.name}/{whole:020d}.state"))
+                version, whole_state = whole, json.loads(self.files.read(f"{self.name}/{whole:020d}.state"))
+                regions, self.marks = whole_state["regions"], whole_state["marks"]
         regions = dict(regions)
         for n in range(version + 1, last + 1):
-            for region, change in json.loads(self.files.read(self._number(n)))["regions"].items():
-                old = regions.get(region, {"files": [], "last": 0, "base": 0, "generation": 1, "keys": 0})
-                gone = set(change.get("remove", []))
-                regions[region] = {
-                    "files": [f for f in old["files"] if f not in gone] + change.get("add", []),
-                    "last": max(old["last"], change.get("last", 0)),
-                    "base": change.get("base", old["base"]),
-                    "generation": old["generation"] + (1 if gone else 0),
-                    "keys": old["keys"] + change.get("keys", 0),
-                    "touched": n,
-                }
+            body = json.loads(self.files.read(self._number(n)))
+            self.marks |= body.get("marks", {})
+            self.fold(regions, body["regions"], n)
         self._known = last, regions
         return last, regions
 
-    def add(self, seen: int, regions: dict[str, dict], tail_safe: bool = False) -> int:
-        """Commits changes made on version ``seen``. ``tail_safe`` changes (compactions) don't mind newer appends."""
-        body = json.dumps({"regions": regions}).encode()
+    @classmethod
+    def fold(cls, regions: dict[str, dict], changes: dict[str, dict], n: int) -> None:
+        """Applies a commit's changes."""
+        for region, change in changes.items():
+            old = regions.get(region, {"files": [], "last": 0, "base": 0, "generation": 1, "keys": 0, "totals": {}})
+            gone = set(change.get("remove", []))
+            regions[region] = {
+                "files": [f for f in old["files"] if f not in gone] + change.get("add", []),
+                "last": max(old["last"], change.get("last", 0)),
+                "base": change.get("base", old["base"]),
+                "generation": old["generation"] + (1 if gone else 0),
+                "keys": old["keys"] + change.get("keys", 0),
+                "totals": {k: old["totals"].get(k, 0) + change.get("totals", {}).get(k, 0) for k in cls.TOTALS},
+                "touched": n,
+            }
+
+    def add(self, seen: int, regions: dict[str, dict], tail_safe: bool = False, marks: dict[str, int] | None = None) -> int:
+        """Commits changes made on version ``seen``. ``tail_safe`` changes (compactions) don't mind newer appends.
+
+        ``marks`` are numbers of streams: they are there if and only if the changes are.
+        """
+        body = json.dumps({"regions": regions, "marks": marks or {}}).encode()
         while True:
             last, now = self.state()
             if not tail_safe and any(now.get(r, {}).get("touched", 0) > seen for r in regions):
@@ -161,7 +206,7 @@ class Commits:
             if (last + 1) % self.CHECKPOINT_EVERY == 0:
                 version, state = self.state()
                 try:
-                    self.files.create(f"{self.name}/{version:020d}.state", json.dumps(state).encode())
+                    self.files.create(f"{self.name}/{version:020d}.state", json.dumps({"regions": state, "marks": self.marks}).encode())
                 except Conflict:
                     pass
             return last + 1

@@ -1,12 +1,11 @@
 """Continuous ingestion (an extension): a stream of changes into a world, and a live view kept by state.
 
-A micro-batch is one atomic commit. Its number is recorded with the commit's regions, so a micro-batch that is run again
-after a failure writes nothing twice.
+A micro-batch is one atomic commit that holds its number, so a micro-batch that is run again after a failure, whenever it
+comes, writes nothing twice.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import Conflict
 from ..functions.keys import KEY
 from ..operators.snapshot import latest
 from ..plans.log import with_region
@@ -27,14 +25,9 @@ def ingest(stream: DataFrame, world: World, checkpoint: str, name: str = "ingest
     """Writes each micro-batch (the columns of a change: key, batch, ord, value) as one commit."""
 
     def put(batch: DataFrame, number: int) -> None:
-        mark = f"_streams/{name}/{number:020d}.json"
-        if world.files.exists(mark) or batch.isEmpty():
-            return
-        version = world.write(batch)
-        try:
-            world.files.create(mark, json.dumps({"version": version}).encode())
-        except Conflict:
-            pass
+        world.commits.state()
+        if world.commits.marks.get(name, -1) < number and not batch.isEmpty():
+            world.write(batch, mark=(name, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

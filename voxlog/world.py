@@ -53,8 +53,8 @@ class Options:
         return self
 
 
-#: Regions compacted in one job and commit.
-REGIONS_AT_ONCE = 10_000
+#: Regions compacted in one job and commit; regions that a batched read names one by one.
+REGIONS_AT_ONCE, REGIONS_NAMED = 10_000, 1_000
 
 
 def literal(rows: list[tuple[int, int, int, int]], spark: SparkSession) -> DataFrame:
@@ -79,11 +79,12 @@ class World:
         self.files = Files(spark, path)
         self._check_format(create)
         self.commits, self.aux_commits = Commits(self.files, "_commits"), Commits(self.files, "_aux_commits")
-        self._pending: list[DataFrame] = []
+        self._buffer: list[dict] = []
+        self._buffered_on, self._buffered_marks = 0, {}
         self._lock = threading.RLock()
         self._pool: ThreadPoolExecutor | None = None
         self._jobs: dict[tuple[int, int, int], Future] = {}
-        self._skipped = 0
+        self._skipped = 0  # by batches that were skipped whole
         self._counted: dict[str, int] = {}
         self.closed = False
 
@@ -113,14 +114,23 @@ class World:
 
     # reads
 
+    def _state(self) -> tuple[int, dict]:
+        """The newest version and its state, with the buffered writes of this writer on top."""
+        seen, state = self.commits.state()
+        if self._buffer:
+            state = dict(state)
+            for changes_ in self._buffer:
+                self.commits.fold(state, changes_, seen)
+        return seen, state
+
     def _log_files(self, state: dict, regions: list[tuple[int, int, int]] | None) -> list[str]:
         names = state if regions is None else [_name(*r) for r in regions]
         return [f for n in names for f in state.get(n, {"files": []})["files"]]
 
     def log(self, regions: list[tuple[int, int, int]] | None = None) -> DataFrame:
-        """The record log of the newest version; given regions, only their files."""
+        """The record log of the newest version, buffered writes included; given regions, only their files."""
         self._open()
-        _, state = self.commits.state()
+        _, state = self._state()
         return self._read("log", self._log_files(state, regions), LOG_SCHEMA)
 
     def _read(self, table: str, files: list[str], schema: str) -> DataFrame:
@@ -135,6 +145,9 @@ class World:
         return snapshot.live(self.log(regions)).select(*FULL_KEY, "batch_id", "ord", "value")
 
     def as_of(self, batch_id: int) -> DataFrame:
+        """The live snapshot after a batch. Refused for batches that a compaction has merged."""
+        if merged := [n for n, s in self._state()[1].items() if s["base"] > batch_id]:
+            raise InvalidArgument(f"batch {batch_id} of region {merged[0]} was compacted")
         return snapshot.as_of(self.log(), batch_id)
 
     def get(self, dimension: int, chunk_x: int, chunk_z: int, component: int, subchunk_y: int = 0) -> bytes | None:
@@ -146,7 +159,9 @@ class World:
         return row["raw_len"] if row else None
 
     def get_many(self, requests: DataFrame) -> DataFrame:
-        return snapshot.get_many(self.log(), requests)
+        """As snapshot.get_many; only the files of the regions asked for are read, while those are few enough to name."""
+        asked = [tuple(r) for r in with_region(requests).select(*REGION).distinct().limit(REGIONS_NAMED + 1).collect()]
+        return snapshot.get_many(self.log(asked if len(asked) <= REGIONS_NAMED else None), requests)
 
     def chunk(self, dimension: int, chunk_x: int, chunk_z: int) -> DataFrame:
         return snapshot.chunk_records(self._one(dimension, chunk_x, chunk_z), dimension, chunk_x, chunk_z)
@@ -165,10 +180,30 @@ class World:
     def regions(self) -> list[tuple[int, int, int]]:
         """Every region ever written, also one whose keys are all deleted; never the reserved dimension."""
         self._open()
-        return sorted(r for r in map(_region, self.commits.state()[1]) if r[0] != AUX_DIMENSION)
+        return sorted(r for r in map(_region, self._state()[1]) if r[0] != AUX_DIMENSION)
+
+    def list_regions(self, capacity: int) -> tuple[list[tuple[int, int, int]], int]:
+        """The first regions that fit, and how many there are."""
+        found = self.regions()
+        return found[:capacity], len(found)
+
+    def list_keys(self, dimension: int, region_x: int, region_z: int, capacity: int, components: list[int] | None = None) -> tuple[list[tuple[int, ...]], int]:
+        """The first keys of a region that fit, in key order, and how many there are."""
+        keys = self.keys(dimension, region_x, region_z, components)
+        return [tuple(r) for r in keys.limit(capacity).collect()], keys.count()
+
+    def read_chunk(self, dimension: int, chunk_x: int, chunk_z: int, records: int, size: int) -> tuple[list[tuple[int, int, bytes]], int, int]:
+        """(records in order, their number, their bytes); without the records where either doesn't fit."""
+        here = self._one(dimension, chunk_x, chunk_z)
+        row = snapshot.chunk_summary(here.where(snapshot.chunk_is(dimension, chunk_x, chunk_z))).first()
+        n, required = (row["records"], row["required"]) if row else (0, 0)
+        if n > records or required > size:
+            return [], n, required
+        found = snapshot.chunk_records(here, dimension, chunk_x, chunk_z).collect()
+        return [(r["component"], r["subchunk_y"], bytes(r["value"])) for r in found], n, required
 
     def last_batch_id(self, dimension: int, region_x: int, region_z: int) -> int | None:
-        found = self.commits.state()[1].get(_name(dimension, region_x, region_z))
+        found = self._state()[1].get(_name(dimension, region_x, region_z))
         return found["last"] if found else None
 
     def prefetch(self, regions: list[tuple[int, int, int]]) -> DataFrame:
@@ -177,14 +212,20 @@ class World:
 
     def stats(self) -> DataFrame:
         """Per region: live keys and bytes, bytes of all frames, segments (files)."""
-        _, state = self.commits.state()
+        _, state = self._state()
         counted = maintenance.region_stats(self._read("log", self._log_files(state, None), LOG_SCHEMA))
         rows = [(*_region(n), len(s["files"])) for n, s in state.items()]
         return counted.join(self.spark.createDataFrame(rows, "dimension int, region_x int, region_z int, segments int"), list(REGION)) if rows else counted.withColumn("segments", F.lit(0))
 
     def counters(self) -> dict:
-        """What was written since the world began, or since reset_counters(), and the no-op changes skipped by this writer."""
-        row = maintenance.write_stats(self.log()).first().asDict() | {"skipped": self._skipped}
+        """What was written since the world began, or since reset_counters(): batches, records, deletes, bytes, and the no-op changes that were skipped.
+
+        The totals are the commits' own, so compactions don't lessen them. Skipped changes of batches that were skipped
+        whole left no commit and are counted by this writer alone.
+        """
+        states = self._state()[1].values()
+        row = {k: sum(s["totals"].get(k, 0) for s in states) for k in self.commits.TOTALS}
+        row = {"writes": row["writes"], "records_written": row["records"], **{k: row[k] for k in ("deletes", "raw_bytes", "stored_bytes")}, "skipped": row["skipped"] + self._skipped}
         return {k: v - self._counted.get(k, 0) for k, v in row.items()}
 
     def reset_counters(self) -> None:
@@ -193,17 +234,15 @@ class World:
 
     # writes
 
-    def write(self, batch: DataFrame, sync: bool = True) -> int | None:
+    def write(self, batch: DataFrame, sync: bool = True, mark: tuple[str, int] | None = None) -> int | None:
         """Writes changes (CHANGES_SCHEMA; also batch_id, 0 or missing for the next). Every region's changes are atomic.
 
-        A batch is the rows of one ``batch`` number in one region, ordered by ord. Buffered writes wait for flush().
+        A batch is the rows of one ``batch`` number in one region, ordered by ord. A buffered write is checked, has its ids
+        and can be read through this writer at once; flush() or the next other write commits it, together with those
+        before it. ``mark`` is a stream's name and number, committed with the changes.
         """
         self._open()
-        if not sync:
-            with self._lock:
-                self._pending.append(batch)
-            return None
-        return self._commit(batch)
+        return self._commit(batch, sync, mark)
 
     def write_group(self, batches: DataFrame) -> int:
         """Several batches of one region, all or nothing."""
@@ -215,16 +254,18 @@ class World:
             raise BatchTooLarge(f"{len(facts)} batches")
         return self._commit(batches)
 
-    def _commit(self, batch: DataFrame) -> int | None:
+    def _commit(self, batch: DataFrame, sync: bool = True, mark: tuple[str, int] | None = None) -> int | None:
         with self._lock:
+            if sync:
+                self.flush()
             while True:
                 try:
-                    return self._try_commit(batch)
+                    return self._try_commit(batch, sync, dict([mark] if mark else []))
                 except Conflict:
                     continue
 
-    def _try_commit(self, batch: DataFrame) -> int | None:
-        seen, state = self.commits.state()
+    def _try_commit(self, batch: DataFrame, sync: bool, marks: dict[str, int]) -> int | None:
+        seen, state = self._state()
         rows = with_region(batch)
         rows = rows.withColumn("given", F.col("batch_id").cast("long") if "batch_id" in rows.columns else F.lit(0).cast("long")).drop("batch_id")
         rows = rows.withColumns({"value": F.col("value").cast("binary"), "batch": F.col("batch").cast("int"), "ord": F.col("ord").cast("int")}).persist()
@@ -246,12 +287,14 @@ class World:
                 single = rows.withColumn("_b", F.min("batch").over(w) == F.max("batch").over(w))
                 alone, groups = single.where("_b").drop("_b"), single.where("not _b").drop("_b")
                 kept = changes.skip_unchanged(alone, now).unionByName(groups).persist()
-            ids = _assigned(kept.groupBy(*REGION, "batch").agg(F.max("given").alias("given"), F.count("*").alias("changes")), last).persist()
-            ends = ids.groupBy(*REGION).agg(F.max("batch_id").alias("last"), F.sum("changes").alias("changes"), F.max(F.when((F.col("given") != 0) & (F.col("given") <= F.col("before")), F.struct("given", "before"))).alias("bad")).collect()
+            counted = (F.count("*").alias("changes"), F.count_if(F.col("value").isNull()).alias("deletes"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("raw_bytes"))
+            ids = _assigned(kept.groupBy(*REGION, "batch").agg(F.max("given").alias("given"), *counted), last).persist()
+            ends = ids.groupBy(*REGION).agg(F.max("batch_id").alias("last"), F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in ("changes", "deletes", "raw_bytes")], F.max(F.when((F.col("given") != 0) & (F.col("given") <= F.col("before")), F.struct("given", "before"))).alias("bad")).collect()
             if bad := next((e["bad"] for e in ends if e["bad"]), None):
                 raise BatchOrder(f"{bad['given']} after {bad['before']}")
-            self._skipped += sum(f["changes"] for f in facts) - sum(e["changes"] for e in ends)
+            given = {tuple(f[:3]): f["changes"] for f in facts}
             touched = [tuple(e[:3]) for e in ends]
+            self._skipped += sum(n for r, n in given.items() if r not in set(touched))
             if not touched:
                 return None
             new = kept.join(ids.select(*REGION, "batch", "batch_id"), [*REGION, "batch"])
@@ -259,9 +302,19 @@ class World:
                 if full := changes.admitted(now, new, self.options.max_keys).where("not admitted").first():
                     raise IndexFull(f"{full['keys_after']} keys in region {tuple(full[c] for c in REGION)}")
             new = new.select(*KEY, *REGION[1:], "batch_id", "ord", F.col("value").isNull().alias("is_delete"), F.coalesce(F.octet_length("value"), F.lit(0)).alias("raw_len"), F.crc32("value").alias("crc"), "value")
-            added = self._put("log", new, REGION, self.options.compression)
-            # "keys" only bounds a region's keys from above: while it is low, they needn't be counted
-            version = self.commits.add(seen, {n: {"add": added.get(n, []), "last": e["last"], "keys": e["changes"]} for e in ends if (n := _name(*e[:3]))})
+            sizes: dict[str, int] = {}
+            added = self._put("log", new, REGION, self.options.compression, sizes)
+            done = {}
+            for e in ends:  # "keys" only bounds a region's keys from above: while it is low, they needn't be counted
+                n = _name(*e[:3])
+                totals = {"writes": e["batches"], "records": e["changes"], "deletes": e["deletes"], "raw_bytes": e["raw_bytes"], "stored_bytes": sizes.get(n, 0), "skipped": given[tuple(e[:3])] - e["changes"]}
+                done[n] = {"add": added.get(n, []), "last": e["last"], "keys": e["changes"], "totals": totals}
+            if not sync:
+                self._buffered_on = self._buffered_on if self._buffer else seen
+                self._buffer.append(done)
+                self._buffered_marks |= marks
+                return seen + len(self._buffer)
+            version = self.commits.add(seen, done, marks=marks)
         finally:
             for df in (rows, kept, ids):
                 if df is not None:
@@ -277,27 +330,37 @@ class World:
         added = self._put("log", log, REGION, self.options.compression)
         if held := set(added) & set(state):
             raise InvalidArgument(f"region {min(held)} has a log already")
-        back = self._read("log", [f for fs in added.values() for f in fs], LOG_SCHEMA).groupBy(*REGION).agg(F.max("batch_id").alias("last"), F.count("*").alias("changes")).collect()
-        return self.commits.add(seen, {n: {"add": added[n], "last": r["last"], "keys": r["changes"]} for r in back if (n := _name(r["dimension"], r["region_x"], r["region_z"]))})
+        back = self._read("log", [f for fs in added.values() for f in fs], LOG_SCHEMA).groupBy(*REGION)
+        back = back.agg(F.max("batch_id").alias("last"), F.count("*").alias("records"), F.count_distinct("batch_id").alias("writes"), F.count_if("is_delete").alias("deletes"), F.sum("raw_len").alias("raw_bytes")).collect()
+        totals = lambda r: {k: r[k] for k in ("writes", "records", "deletes", "raw_bytes")}
+        return self.commits.add(seen, {n: {"add": added[n], "last": r["last"], "keys": r["records"], "totals": totals(r)} for r in back if (n := _name(r["dimension"], r["region_x"], r["region_z"]))})
 
-    def _put(self, table: str, df: DataFrame, by: tuple[str, ...], codec: str) -> dict[str, list[str]]:
-        """Writes files below ``table`` and gives them by region name. Large partitions are split, small ones are one file."""
+    def _put(self, table: str, df: DataFrame, by: tuple[str, ...], codec: str, sizes: dict[str, int] | None = None) -> dict[str, list[str]]:
+        """Writes files below ``table`` and gives them by region name, their bytes into ``sizes``. Large partitions are split, small ones are one file."""
         commit = f"commit=c{uuid.uuid4().hex}"
         df.hint("rebalance", *by).write.partitionBy(*by).option("compression", codec).parquet(self.files.at(f"{table}/{commit}"))
         out: dict[str, list[str]] = {}
-        for path, _ in self.files.sizes(f"{table}/{commit}"):
+        for path, size in self.files.sizes(f"{table}/{commit}"):
             *parts, file = path.split("/")
             if file.endswith(".parquet"):
-                out.setdefault(_name(*[int(p.split("=")[1]) for p in parts]), []).append(f"{commit}/{path}")
+                name = _name(*[int(p.split("=")[1]) for p in parts])
+                out.setdefault(name, []).append(f"{commit}/{path}")
+                if sizes is not None:
+                    sizes[name] = sizes.get(name, 0) + size
         return out
 
     def flush(self) -> int | None:
-        """Commits buffered writes in order; a failed one stays buffered with those after it."""
+        """Commits the buffered writes, all of them or none. Where another writer has touched their regions it is a conflict, and they stay buffered."""
         with self._lock:
-            version = None
-            while self._pending:
-                version = self._commit(self._pending[0])
-                self._pending.pop(0)
+            if not self._buffer:
+                return None
+            whole: dict[str, dict] = {}
+            for changes_ in self._buffer:
+                for n, c in changes_.items():
+                    old = whole.get(n, {"add": [], "last": 0, "keys": 0, "totals": {}})
+                    whole[n] = {"add": old["add"] + c["add"], "last": c["last"], "keys": old["keys"] + c["keys"], "totals": {k: old["totals"].get(k, 0) + v for k, v in c["totals"].items()}}
+            version = self.commits.add(self._buffered_on, whole, marks=self._buffered_marks)
+            self._buffer, self._buffered_marks = [], {}
             return version
 
     def close(self) -> None:
@@ -326,6 +389,10 @@ class World:
         """rows: key, value (null deletes). Keys that are chunk records go to the record log, unless not ``routed``."""
         rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
         chunk, other = aux_ops.route(rows) if routed else (None, rows)
+        size = lambda c: F.coalesce(F.max(F.octet_length(c)), F.lit(0))
+        key, value = other.agg(size("key"), size("value")).first()
+        if max(key, value) > changes.MAX_VALUE:
+            raise BatchTooLarge(f"an auxiliary record of {max(key, value)} bytes")
         if chunk is not None and not chunk.isEmpty():
             self.write(as_batches(chunk))
         if other.isEmpty():
@@ -370,6 +437,7 @@ class World:
     def _compact(self, regions: list[tuple[int, int, int]]) -> int:
         """Compacts regions in one job and one commit; what is appended meanwhile stays. The number that were there."""
         self._open()
+        self.flush()
         while True:
             seen, state = self.commits.state()
             found = {n: state[n] for r in regions if (n := _name(*r)) in state}
@@ -387,13 +455,30 @@ class World:
                 continue
 
     def compact_world(self) -> tuple[int, int, int]:
-        """Compacts all regions, many in one job: (regions, bytes read, bytes written)."""
-        size = lambda: sum(n for f, n in self._referenced() if f.startswith("log/"))
+        """Compacts all regions, many in one job, and the auxiliary records: (regions, bytes read, bytes written)."""
+        self.flush()
+        size = lambda: sum(n for _, n in self._referenced())
         before, regions = size(), sorted(map(_region, self.commits.state()[1]))
         for i in range(0, len(regions), REGIONS_AT_ONCE):
             self._compact(regions[i : i + REGIONS_AT_ONCE])
+        self._compact_aux()
         return len(regions), before, size()
 
+    def _compact_aux(self) -> None:
+        """Rewrites the auxiliary records to the live ones; what is appended meanwhile stays."""
+        while True:
+            seen, state = self.aux_commits.state()
+            found = {n: s for n, s in state.items() if s["files"]}
+            if not found:
+                return
+            live = aux_ops.aux_live(self._read("aux", [f for s in found.values() for f in s["files"]], AUX_SCHEMA))
+            added = self._put("aux", live, ("bucket",), self.options.dense_compression)
+            try:
+                self.aux_commits.add(seen, {n: {"add": added.get(n, []), "remove": s["files"], "base": s["last"]} for n, s in found.items()}, tail_safe=True)
+                return
+            except Conflict:
+                continue
+
     def compact_async(self, dimension: int, region_x: int, region_z: int) -> None:
         """Queues a compaction; a full queue and a region that is queued already are refused as busy."""
         self._open()
@@ -424,7 +509,7 @@ class World:
 
     def _referenced(self) -> list[tuple[str, int]]:
         sizes = {f"{t}/{p}": n for t in ("log", "aux") for p, n in self.files.sizes(t)}
-        named = [f"{t}/{f}" for t, c in (("log", self.commits), ("aux", self.aux_commits)) for s in c.state()[1].values() for f in s["files"]]
+        named = [f"{t}/{f}" for t, state in (("log", self._state()[1]), ("aux", self.aux_commits.state()[1])) for s in state.values() for f in s["files"]]
         return [(f, sizes.get(f, -1)) for f in named]
 
     def orphans(self) -> list[str]:
