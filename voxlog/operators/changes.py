@@ -84,13 +84,13 @@ def repeats_in_batch(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY, "batch_id").agg(F.count("*").alias("changes")).where("changes > 1")
 
 
-def accepted(frames: DataFrame, position: str = "position", base: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Frames whose batch_id exceeds every accepted one before; that is exceeding every one before, accepted or not."""
+def accepted(frames: DataFrame, by: tuple[str, ...], position: str = "position", base: int = 0) -> DataFrame:
+    """Of the frames of each ``by`` those whose batch_id exceeds every accepted one before; that is exceeding every one before, accepted or not."""
     w = Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     return frames.withColumn("_before", F.max("batch_id").over(w)).where(F.col("batch_id") > F.greatest(F.coalesce("_before", F.lit(base)), F.lit(base))).drop("_before")
 
 
-def base_in_place(frames: DataFrame, base_batch_id: int | Column, position: str = "position", by: tuple[str, ...] = ()) -> DataFrame:
+def base_in_place(frames: DataFrame, base_batch_id: int | Column, by: tuple[str, ...], position: str = "position") -> DataFrame:
     """Adds ``in_place``: compacted base frames (kind 2) carry the base id and stand before every ordinary frame (kind 1)."""
     w = Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     ordinary = F.coalesce(F.sum((F.col("kind") == 1).cast("int")).over(w), F.lit(0))
@@ -98,7 +98,7 @@ def base_in_place(frames: DataFrame, base_batch_id: int | Column, position: str
     return frames.withColumn("in_place", (F.col("kind") == 1) | ((ordinary == 0) & (F.col("batch_id") == base)))
 
 
-def valid_prefix(frames: DataFrame, position: str = "position", by: tuple[str, ...] = ()) -> DataFrame:
+def valid_prefix(frames: DataFrame, by: tuple[str, ...], position: str = "position") -> DataFrame:
     """The frames before the first that is not valid."""
     w = Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return frames.withColumn("_ok", F.min(F.col("valid").cast("int")).over(w)).where("_ok = 1").drop("_ok")

@@ -41,9 +41,9 @@ def write_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def orphans(listed: DataFrame, named: DataFrame) -> DataFrame:
-    """Files that are there and no manifest names (generation, id)."""
-    return listed.join(named, ["generation", "id"], "left_anti")
+def orphans(listed: DataFrame, named: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Files that are there and no manifest names (generation, id), in the folders ``by`` tells."""
+    return listed.join(named, [*by, "generation", "id"], "left_anti")
 
 
 def verification_totals(frames: DataFrame) -> DataFrame:

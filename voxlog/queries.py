@@ -53,13 +53,13 @@ def value_size(log):
 with requests as (
   select event_id as request_id, dimension, cast(chunk_x + case when event_id % 10 = 0 then 1000 else 0 end as int) as chunk_x, chunk_z, component, subchunk_y,
     cast(event_id % 12 as bigint) as capacity
-  from log where event_id < 150)
+  from log)
 select r.request_id, case when v.value is null then 'not_found' when length(v.value) > r.capacity then 'buffer_too_small' else 'ok' end as status,
   cast(coalesce(length(v.value), 0) as bigint) as required, case when length(v.value) <= r.capacity then v.value end as value
 from requests r left join live v using ({_K})""")
 def get_many(log):
     x = (F.col("chunk_x") + F.when(F.col("event_id") % 10 == 0, 1000).otherwise(0)).cast("int")
-    requests = log.where("event_id < 150").select(F.col("event_id").alias("request_id"), "dimension", x.alias("chunk_x"), "chunk_z", "component", "subchunk_y", (F.col("event_id") % 12).alias("capacity"))
+    requests = log.select(F.col("event_id").alias("request_id"), "dimension", x.alias("chunk_x"), "chunk_z", "component", "subchunk_y", (F.col("event_id") % 12).alias("capacity"))
     return snapshot.get_many(log, requests).na.fill(0, ["required"])
 
 
@@ -114,13 +114,12 @@ def keys_in_range(log):
     return snapshot.keys_in_range(log, None, -40, 31, -33, 5, [47, 49])
 
 
-@query(f"select {_K}, cast(row_number() over (order by dimension, chunk_x, chunk_z, component * 256 + subchunk_y + 128) as int) as place from live where dimension = 1 and chunk_x between -64 and -1")
+@query(f"select {_K}, cast(row_number() over (partition by dimension, region_x order by chunk_x, chunk_z, component * 256 + subchunk_y + 128) as int) as place from live")
 def keys_sorted(log):
-    """Key order, shown as a rank; ranked within a dimension's range."""
+    """Key order, shown as a rank within each column of regions."""
     from pyspark.sql.window import Window
 
-    found = snapshot.live(log.where("dimension = 1 and region_x between -2 and -1"))
-    return found.select(*KEY, F.row_number().over(Window.partitionBy("dimension").orderBy("chunk_x", "chunk_z", local_key())).alias("place"))
+    return snapshot.live(log).select(*KEY, F.row_number().over(Window.partitionBy("dimension", "region_x").orderBy("chunk_x", "chunk_z", local_key())).alias("place"))
 
 
 @query(f"select {_R}, max(batch_id) as last_batch_id from log group by all", live=False)
@@ -209,16 +208,12 @@ def compaction_rewrite(log):
     return maintenance.compacted(log)
 
 
-@query("select event_id as position, cast(event_id + (event_id * 37) % 11 as bigint) as batch_id from log qualify event_id + (event_id * 37) % 11 > greatest(coalesce(max(event_id + (event_id * 37) % 11) over (order by event_id rows between unbounded preceding and 1 preceding), 0), 0)", live=False)
+@query(f"""
+with f as (select {_R}, event_id as position, cast(event_id + (event_id * 3701) % 1009 as bigint) as batch_id from log)
+select * from f qualify batch_id > greatest(coalesce(max(batch_id) over (partition by {_R} order by position rows between unbounded preceding and 1 preceding), 0), 0)""", live=False)
 def batch_order_accept(log):
-    return changes.accepted(log.select(F.col("event_id").alias("position"), (F.col("event_id") + (F.col("event_id") * 37) % 11).alias("batch_id")))
-
-
-@query(f"select {_R}, event_id as position from (select *, max(event_id % 97) over (partition by {_R} order by event_id rows between unbounded preceding and current row) as worst from log) where worst < 96", live=False)
-def valid_prefix(log):
-    """Per region, the frames before its first broken one (a stand-in: those whose number is 96 modulo 97)."""
-    frames = log.select(*REGION, F.col("event_id").alias("position"), (F.col("event_id") % 97 != 96).alias("valid"))
-    return changes.valid_prefix(frames, by=REGION).select(*REGION, "position")
+    """Of each region's frames those whose number exceeds all before."""
+    return changes.accepted(log.select(*REGION, F.col("event_id").alias("position"), (F.col("event_id") + (F.col("event_id") * 3701) % 1009).alias("batch_id")), by=REGION)
 
 
 @query(f"""
@@ -344,20 +339,6 @@ def write_stats(log):
     return maintenance.write_stats(log)
 
 
-@query(f"""
-with s as (select {_R}, event_id % 97 <> 96 as valid from log), g as (select {_R}, count(*) filter (valid) as batches, bool_or(not valid) as problem from s group by {_R})
-select count(*) as regions, cast(sum(batches) as bigint) as batches, count(*) filter (problem) as problems from g""", live=False)
-def verification_totals(log):
-    return maintenance.verification_totals(log.select(*REGION, (F.col("event_id") % 97 != 96).alias("valid")))
-
-
-@query("select distinct cast(event_id % 5 as bigint) as generation, cast(event_id % 400 as bigint) as id from log where event_id % 5 <> 3 or event_id % 400 >= 200", live=False)
-def orphan_files(log):
-    """Files there (by number) without those named."""
-    files = log.select((F.col("event_id") % 5).alias("generation"), (F.col("event_id") % 400).alias("id")).distinct()
-    return maintenance.orphans(files, files.where("generation = 3 and id < 200"))
-
-
 @query("""
 with e as (select event_type, value from events where value is not null)
 select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99,
@@ -374,5 +355,8 @@ QUERIES["latency_summary"], SQL["latency_summary"] = latency_summary, SQL.pop("_
 del QUERIES["_latency"]
 
 
+from . import stored_queries  # noqa: E402, F401  registers the queries over stored worlds
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["region_stats"](spark, sf_dir)

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .errors import Conflict, InvalidArgument
 
@@ -26,6 +26,23 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to a work folder and read from there: computed once, whatever executors are lost later."""
+    if getattr(df, "_work_path", None):
+        return df
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._work_path = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._work_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put_file(uri: str, data: bytes) -> None:
     """Writes a whole file from an executor; a task that is run again replaces it with the same."""
     from pyarrow import fs

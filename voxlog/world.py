@@ -23,7 +23,7 @@ from .functions.keys import AUX_DIMENSION, FULL_KEY, KEY, REGION
 from .operators import aux as aux_ops
 from .operators import changes, maintenance, snapshot
 from .plans.log import with_region
-from .storage import Commits, Files
+from .storage import Commits, Files, drop, stored
 
 LIBRARY_VERSION, WORLD_VERSION = 1, 2
 _PROBLEMS = {c.__name__: c for c in (InvalidArgument, RegionMismatch, BatchTooLarge, BatchOrder)}
@@ -387,7 +387,15 @@ class World:
 
     def aux_write(self, rows: DataFrame, routed: bool = True) -> None:
         """rows: key, value (null deletes). Keys that are chunk records go to the record log, unless not ``routed``."""
-        rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+        given = getattr(rows, "_work_path", None)
+        rows = stored(rows if given else rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")), "aux-rows")
+        try:
+            self._aux_write(rows, routed)
+        finally:
+            if not given:
+                drop(rows)
+
+    def _aux_write(self, rows: DataFrame, routed: bool) -> None:
         chunk, other = aux_ops.route(rows) if routed else (None, rows)
         size = lambda c: F.coalesce(F.max(F.octet_length(c)), F.lit(0))
         key, value = other.agg(size("key"), size("value")).first()
