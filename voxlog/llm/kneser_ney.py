@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,7 @@ FEW = 30
 HELD_OUT = 4
 #: Bytes of text handled at a time; bytes of text of a block; n-grams that a task gathers before it passes them on; ids
 #: (a number each) that are broadcast at most.
-BYTES_AT_ONCE, BLOCK_BYTES, GRAMS_HELD, BROADCAST_IDS = 1 << 21, 64 << 20, 2_000_000, 200_000
+BYTES_AT_ONCE, BLOCK_BYTES, GRAMS_HELD, BROADCAST_IDS = 1 << 20, 64 << 20, 1_000_000, 200_000
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +178,11 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
                 keys = Keys(np.unique(s))
                 k = keys.of(s, np.arange(ORDER - 1, len(s), ORDER), True)
-                made, grams = (pd.Index(k), np.concatenate(logs) if logs else np.empty(0)), []
+                made, grams = (pa.array(k), np.concatenate(logs) if logs else np.empty(0)), []
             for parcel in b.column(4).slice(i, j - i):
                 for rows in pa.ipc.open_stream(parcel.as_py()):
                     s, ends, n = _codes(rows.column(0).to_pylist())
-                    log = made[1][made[0].get_indexer(keys.of(s, ends))] if len(ends) else np.empty(0)
+                    log = made[1][pc.index_in(pa.array(keys.of(s, ends)), value_set=made[0]).to_numpy()] if len(ends) else np.empty(0)
                     sums = np.bincount(np.repeat(np.arange(len(n)), n), log, len(n))
                     with np.errstate(invalid="ignore", divide="ignore"):
                         ppl = np.exp(-sums / n)
