@@ -3,7 +3,8 @@
 Vectors get one more component, ``sqrt(M^2 - |x|^2)`` with M the largest norm, so that the largest inner product is the
 smallest distance. The tree is fitted on a bounded sample (``SAMPLE`` distinct vectors, so at most ``SAMPLE`` nodes:
 its size is bounded) and indexes every vector. A query walks the tree with a priority queue of centroid distances; how
-many leaves it visits is widened until the recall of calibration queries, held against all vectors, reaches ``RECALL``.
+many leaves it visits is widened until the recall of calibration queries, held against all vectors, reaches ``RECALL``
+by two standard errors.
 
 Equal vectors are searched once: among them only the ``k + 1`` smallest ids can be anyone's k nearest, because ties go to
 the smaller id. That is exact, and a vector that a third of all rows share costs one row.
@@ -24,9 +25,11 @@ from pyspark.sql.window import Window
 
 from .shared import Scratch, table
 
-K, RECALL = 20, 0.97
+K, RECALL = 20, 0.9
 #: Vectors the tree is fitted on; queries that calibrate it; vectors, and queries with what they found, held by a task at once.
-SAMPLE, CALIBRATION, BLOCK, HELD = 32_768, 128, 16_384, 100_000
+SAMPLE, CALIBRATION, BLOCK, HELD = 32_768, 256, 16_384, 100_000
+#: Bytes of vectors that a search task reads.
+TASK_BYTES = 64 << 20
 BRANCH, ROUNDS, SEED = 8, 8, 20
 
 
@@ -154,6 +157,16 @@ def _top(df: DataFrame, by: str, k: int, id_col: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _visits(ranks: list[list[int]], leaves: int, recall: float) -> int:
+    """The least number of leaves whose recall over the queries' neighbours, less two standard errors, is enough; all, if none is."""
+    ranks = [r for r in ranks if r]
+    for v in range(1, leaves if ranks else 1):
+        reached = np.array([np.mean(np.array(r) < v) for r in ranks])
+        if reached.mean() - 2 * reached.std() / math.sqrt(len(reached)) >= recall:
+            return v
+    return leaves
+
+
 def nearest(
     df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL
 ) -> DataFrame:
@@ -199,9 +212,11 @@ def nearest(
     sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
 
     # widen until the calibration queries' true neighbours are reached
-    asked = queries.orderBy(F.xxhash64("qid"), "qid").limit(CALIBRATION).collect()
+    asked = queries.orderBy(F.xxhash64("qid"), "qid").limit(CALIBRATION)
+    asked = distinct.join(F.broadcast(asked), "vector").select("qid", "vid", F.size("ids").alias("same"), "vector").collect()
     if not asked:
         return empty
+    alone = {(r["qid"], r["vid"]) for r in asked if r["same"] == 1}  # a query isn't its own neighbour
     cq, cx = np.array([r["qid"] for r in asked], np.int64), np.array([r["vector"] for r in asked], np.float64)
 
     def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +225,9 @@ def nearest(
                 yield _rows(list(zip(cq.tolist(), _best(cx, _matrix(b.column(1), dim), b.column(0).to_numpy(), k + 1), strict=True)))
 
     true = _top(index.select("vid", "vector").mapInArrow(all_rows, "qid long, vid long, score double"), "qid", k + 1, "vid")
-    true = true.join(index.select("vid", "leaf"), "vid").select("qid", "leaf").collect()
+    true = [r for r in true.join(index.select("vid", "leaf"), "vid").select("qid", "vid", "leaf").collect() if (r["qid"], r["vid"]) not in alone]
     places = {int(q): {leaf: i for i, leaf in enumerate(tree.visit(np.append(x, 0.0)))} for q, x in zip(cq, cx, strict=True)}
-    ranks = sorted(places[r["qid"]][r["leaf"]] for r in true)
-    visits = ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1
+    visits = _visits([[places[q][r["leaf"]] for r in true if r["qid"] == q] for q in places], len(tree.leaves), recall)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, _ = shared.value
@@ -235,7 +249,9 @@ def nearest(
     held = index.select("leaf", F.pmod(F.xxhash64("vid"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("vid").alias("id"), "vector")
     visiting = queries.mapInArrow(routed, f"leaf int, qid long, vector array<{kind}>")
     visiting = visiting.select("leaf", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), F.col("qid").alias("id"), "vector")
-    met = held.unionByName(visiting).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind")
+    size = (n + queries.count() * visits) * dim * (8 if kind == "double" else 4)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    met = held.unionByName(visiting).repartition(tasks, "leaf", "block").sortWithinPartitions("leaf", "block", "kind")
     found = _top(met.mapInArrow(lambda bs: _join_blocks(bs, dim, k + 1), "qid long, vid long, score double"), "qid", k + 1, "vid").drop("rank")
     rows = found.join(distinct.select("vid", F.explode("ids").alias("id")), "vid").select("qid", "id", "score")
     best = _top(rows, "qid", k + 1, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("best"))
