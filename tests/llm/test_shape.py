@@ -39,6 +39,40 @@ def test_shards_are_near_equal(spark, shards):
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
 
 
+def brute_kd(rows, leaves):
+    """{row: leaf} of rows ((dims), id, weight): cut at the boundary nearest to the wanted weight, along the widest dimension."""
+    spread = [max(r[0][i] for r in rows) - min(r[0][i] for r in rows) for i in range(len(rows[0][0]))]
+
+    def cut(own, first, k):
+        if k == 1 or not own:
+            return {i: first for i in own}
+        width = [(max(rows[i][0][d] for i in own) - min(rows[i][0][d] for i in own)) / max(1, spread[d]) for d in range(len(spread))]
+        d = width.index(max(width))
+        own = sorted(own, key=lambda i: (rows[i][0][d], rows[i][1]))
+        ends = np.cumsum([0] + [rows[i][2] for i in own])
+        want = ends[-1] * (k // 2) / k
+        at = int(np.abs(ends - want).argmin())
+        return cut(own[:at], first, k // 2) | cut(own[at:], first + k // 2, k - k // 2)
+
+    return cut(list(range(len(rows))), 0, leaves)
+
+
+@pytest.mark.parametrize("driver_nodes", [1, 2, 1024])
+def test_cuts_equal_brute_force(spark, monkeypatch, driver_nodes):
+    monkeypatch.setattr(sharding, "DRIVER_NODES", driver_nodes)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 30)
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    code = lambda s: int.from_bytes((s or "").encode()[:6].ljust(6, b"\0"), "big")
+    docs = df.collect()
+    rows = [((r["n_chars"], code(r["lang"]), code(r["source"])), r["doc_id"], size(r["text"])) for r in docs]
+    want = {docs[i]["doc_id"]: leaf for i, leaf in brute_kd(rows, 11).items()}
+    got = sharding.kd_shard(df, shards=11).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == want
+    for s in range(11):  # slots follow ids, however many ranges they are numbered in
+        own = sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == s)
+        assert own == list(enumerate(sorted(i for _, i in own)))
+
+
 def test_sharding_of_odd_and_equal_rows(docs):
     got = sharding.kd_shard(docs(ODD), shards=8).collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"]) for r in got) == sorted((i is not None, i or 0, size(t)) for i, t in ODD)

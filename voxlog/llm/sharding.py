@@ -3,7 +3,9 @@
 Rows are points in a space of numeric metadata. A node is split at the weighted median (for an uneven number of
 leaves, the weighted quantile) along its widest dimension, until every leaf holds the target bytes. The cut is
 exact: it is found by descending the bits of the sort key ``(dimension, id, row)``, a bounded histogram for each
-pass, summed on the map side. Only the narrow metadata table is read again; texts are read once and never shuffled.
+pass, summed on the map side. Below DRIVER_NODES nodes a level, which bound what the driver and a broadcast hold, nodes are
+small enough to be cut by windows over their own rows; both ways cut alike. Only the narrow metadata table is read again;
+texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from .shared import Scratch, literal_rows, table, text_of
 
 #: Rows of a histogram sent to the driver in one pass, over all nodes of a level.
 HISTOGRAM_ROWS = 1 << 16
-#: Rows of a slot-numbering block.
-BLOCK_ROWS = 100_000
+#: Nodes of a level that are cut by histograms at most.
+DRIVER_NODES = 1024
+#: Rows of a slot-numbering range.
+BLOCK_ROWS = 1_000_000
 _SIGN = -(2**63)
 
 
@@ -66,7 +70,8 @@ def kd_shard(
     levels = math.ceil(math.log2(leaves)) if leaves > 1 else 0
     nodes = {0: (0, leaves)}  # node: its first leaf, its leaves
     rows, spread = t, {}
-    for level in range(levels if total else 0):
+    above = min(levels, int(math.log2(DRIVER_NODES)) + 1)
+    for level in range(above if total else 0):
         found = _spread(rows, len(dims))
         spread = spread or found[0]
         splits = {}
@@ -83,14 +88,16 @@ def kd_shard(
         for node, (first, k) in nodes.items():
             below |= {2 * node: (first, k // 2), 2 * node + 1: (first + k // 2, k - k // 2)} if node in splits else {2 * node: (first, k)}
         nodes = below
-        if level % 4 == 3:
-            rows = scratch.put(rows)
+        rows = scratch.put(rows)
     if not total:
         return t.select(F.col("id").alias(id_col), F.col("w").alias("size"), F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    leaf = F.broadcast(literal_rows(spark, [(n, first) for n, (first, _) in nodes.items()], "node int, shard int"))
+    leaf = F.broadcast(literal_rows(spark, [(n, first, k) for n, (first, k) in nodes.items()], "node int, shard int, leaves int"))
     rows = rows.join(leaf, "node")
-    blocks = max(1, math.ceil(t.count() / leaves / BLOCK_ROWS))
-    rows = scratch.put(rows.select("id", "ord", "rid", "w", "crc", "shard", F.pmod(F.xxhash64("ord", "rid"), F.lit(blocks)).cast("int").alias("block")))
+    for _ in range(above, levels):
+        rows = scratch.put(_halved(rows, spread, len(dims)))
+    rows = scratch.put(rows.select("id", "ord", "rid", "w", "crc", "shard"))
+    ranges = rows.repartitionByRange(max(1, math.ceil(rows.count() / BLOCK_ROWS)), "shard", "ord", "rid")
+    rows = scratch.put(ranges.withColumn("block", F.spark_partition_id()))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "block").agg(F.count("*").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "block").orderBy("ord", "rid")) - 1)
@@ -99,6 +106,28 @@ def kd_shard(
     )
 
 
+def _halved(rows: DataFrame, spread: dict, n: int) -> DataFrame:
+    """One more level for rows (node, shard: the node's first leaf, leaves): every node's own rows are cut by a window."""
+    own = Window.partitionBy("node")
+    width = [(F.max(f"d{i}").over(own) - F.min(f"d{i}").over(own)) / max(1, spread["hi"][i] - spread["lo"][i]) for i in range(n)]
+    rows = rows.withColumns({f"width{i}": c for i, c in enumerate(width)} | {"all": F.sum("w").over(own)})
+    dim = F.lit(n - 1)
+    for i in reversed(range(n - 1)):
+        dim = F.when(F.col(f"width{i}") >= (F.greatest(*[f"width{j}" for j in range(i + 1, n)]) if n - i > 2 else F.col(f"width{n - 1}")), F.lit(i)).otherwise(dim)
+    rows = rows.withColumn("dim", dim).withColumn("x", _pick("dim", n))
+    upto = F.sum("w").over(own.orderBy("x", "ord", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    half = F.floor(F.col("leaves") / 2).cast("int")
+    rows = rows.withColumn("low", (F.col("leaves") == 1) | (2 * upto - F.col("w") < 2 * (F.col("all") * half / F.col("leaves"))))
+    rows = rows.withColumns(
+        {
+            "node": F.col("node") * 2 + F.when(F.col("low"), 0).otherwise(1),
+            "shard": F.col("shard") + F.when(F.col("low"), 0).otherwise(half),
+            "leaves": F.when(F.col("leaves") == 1, 1).when(F.col("low"), half).otherwise(F.col("leaves") - half),
+        }
+    )
+    return rows.drop("all", "dim", "x", "low", *[f"width{i}" for i in range(n)])
+
+
 def _pick(dim: str, n: int):
     x = F.col(f"d{n - 1}")
     for i in reversed(range(n - 1)):
