@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table, text_of
+from .shared import Scratch, table, text_of, tidied
 
 #: Characters of an n-gram; the probability of a character of which nothing is known: one of all code points.
 ORDER, UNIFORM = 4, 1 / 0x110000
@@ -237,18 +237,18 @@ def perplexities(df: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id",
     ids = trusted_ids.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
     ids = scratch.put(ids.select(F.col(id_col).alias("id"), trained.alias("trained")))
     learnt = with_ids(rows.select("split", "text", "id"), "id", scratch.put(ids.where("trained").select("id")), "left_semi")
-    counts = scratch.put(learnt.select("split", "text").mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    grams = scratch.put(rows.select("split", "text").mapInArrow(_blocked, "block long, gram string"))
+    counts = scratch.put(learnt.select("split", "text").mapInArrow(lambda bs: tidied(_counted(bs)), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    grams = scratch.put(rows.select("split", "text").mapInArrow(lambda bs: tidied(_blocked(bs)), "block long, gram string"))
     p = _probabilities(scratch.put(grams.select("gram").distinct()), counts, scratch)
     known = grams.join(p, "gram").select("block", F.lit(0).alias("kind"), "gram", F.log("p").alias("logp"), F.lit(None).cast("binary").alias("parcel"))
-    parcels = rows.mapInArrow(_parcels, "block long, parcel binary").select("block", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "parcel")
+    parcels = rows.mapInArrow(lambda bs: tidied(_parcels(bs)), "block long, parcel binary").select("block", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "parcel")
     places = scratch.put(grams.select("block").distinct().coalesce(1).withColumn("place", F.monotonically_increasing_id()))
     blocks, met = max(1, places.count()), known.unionByName(parcels)
     if blocks <= BROADCAST_IDS:  # a block a task; beyond, there are so many that hashing spreads them well
         met = met.join(F.broadcast(places), "block", "left").repartitionById(blocks, F.col("place").cast("int")).drop("place")
     else:
         met = met.repartition(blocks, "block")
-    scores = scratch.put(met.sortWithinPartitions("block", "kind").mapInArrow(_scored, "id long, lang string, chars long, perplexity double"))
+    scores = scratch.put(met.sortWithinPartitions("block", "kind").mapInArrow(lambda bs: tidied(_scored(bs)), "id long, lang string, chars long, perplexity double"))
     scratch.drop(grams, p, counts)
     return with_ids(scores, "id", ids, "left").select(F.col("id").alias(id_col), "lang", F.col("trained").isNotNull().alias("trusted"), "chars", "perplexity")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table, text_of
+from .shared import Scratch, table, text_of, tidied
 from .tokens import encoder
 
 LENGTH, OPEN, END_ID = 1024, 4096, 2
@@ -62,7 +62,8 @@ class BestFit:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int, end: bytes, path: str | None) -> Iterator[pa.RecordBatch]:
-    ids_of = encoder(path).ids
+    made = encoder(path)
+    ids_of = made.ids
     for b in batches:
         rows: list[list] = [[] for _ in range(5)]
         for i, text in enumerate(b.column(1)):
@@ -77,6 +78,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int, end: bytes, path: str | N
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"]
         )
+    made.forget()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -131,10 +133,10 @@ def best_fit_pack(
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     end = end_id.to_bytes(4, "little")
-    cut = scratch.put(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).mapInArrow(lambda bs: _cut(bs, size, end, tokenizer), schema).withColumn("rid", F.monotonically_increasing_id()))
+    cut = scratch.put(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).mapInArrow(lambda bs: tidied(_cut(bs, size, end, tokenizer)), schema).withColumn("rid", F.monotonically_increasing_id()))
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     dealt = cut.repartition(max(1, math.ceil(tokens / TASK_TOKENS)), "rid").sortWithinPartitions(F.xxhash64("rid"), "rid").drop("rid")
-    packed = dealt.mapInArrow(lambda bs: _pack(bs, size, open_bins, look_ahead), f"{schema}, sequence_id long, offset long")
+    packed = dealt.mapInArrow(lambda bs: tidied(_pack(bs, size, open_bins, look_ahead)), f"{schema}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
 
 

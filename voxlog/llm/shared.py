@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def tidied(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``out``, after which a worker gives freed memory back to the system: it lives on beside the JVM for other tasks."""
+    try:
+        yield from out
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not this C library
+            pass
+
+
 def text_of(col: str) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -56,6 +56,11 @@ class Encoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.first.clear()
+        self.later.clear()
+
     def ids(self, text: str) -> bytes:
         out, later = [], self.later.__getitem__
         try:
@@ -71,5 +76,5 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str | None = None) -> Encoder:
-    """A worker's own, kept from task to task."""
+    """A worker's own, kept from task to task; its caches are a task's."""
     return Encoder(path)
