@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -62,6 +63,44 @@ def test_stage_drops_near_copies_that_differ_in_many_bits(spark):
     assert got == set(label) and len(got) < len(texts) - 60 - 10
 
 
+def bits_of(text):
+    """The SimHash fingerprint by plain counting."""
+    w = text.split()
+    h = [xxhash.xxh64_intdigest(" ".join(x), 42) for x in {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def joined(n, linked):
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if label[i] != label[j] and linked(i, j):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_simhash_finds_all_within_its_radius(spark):
+    """Without partial fingerprints: sets whose fingerprints reach each other by steps of 4 bits, then the shingles decide."""
+    rng, texts = random.Random(6), []
+    for _ in range(25):
+        t = words_of(rng, rng.randint(8, 300))
+        texts.append(" ".join(t))
+        for _ in range(rng.randint(0, 8)):
+            t = list(t)
+            t[rng.randrange(len(t))] = f"w{rng.randrange(100_000)}"
+            texts.append(" ".join(t))
+    fps = list(map(bits_of, texts))
+    assert [nc.simhash(nc.shingles(t.encode())) % 2**64 for t in texts] == fps
+    group = joined(len(texts), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    near = joined(len(texts), lambda i, j: group[i] == group[j] and jaccard(texts[i], texts[j]) >= 0.8)
+    every = joined(len(texts), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, nc.near_copies(df, "doc_id", partial=0).collect())) == dict(enumerate(near))
+    assert dict(map(tuple, nc.near_copies(df, "doc_id").collect())) == dict(enumerate(every))
+    assert len(set(every)) < len(set(near)) < len(texts)
+
+
 def test_near_copies_of_odd_rows(docs, spark):
     rows = [(n, t) for n, (_, t) in enumerate(ODD)]
     got = dict(map(tuple, nc.near_copies(docs(rows), "doc_id").collect()))

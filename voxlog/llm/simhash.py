@@ -11,7 +11,7 @@ group are linked to its smallest one only, which keeps what is reachable and nev
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, connected_components, table, text_of
+from .shared import Scratch, connected_components, table, text_of, tidied
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
 #: Variants that one prefix should hold, and that are made at a time; the longest prefix.
@@ -31,6 +31,14 @@ TASK_ROWS = 4_000_000
 SHINGLES_AT_ONCE = 16_384
 
 
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The fingerprint of n shingles, whose hashes come in parts, as a signed number: the bits that over half of them set."""
+    counts = np.zeros(BITS, np.int64)
+    for h in hashes:
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The 64-bit fingerprint of UTF-8 bytes, as a signed number."""
     found = text.lower().split()  # bytes: lowers A-Z only, splits at \x20 and \x09-\x0D only
@@ -43,11 +51,8 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     k = min(words, len(found))
     starts, ends = starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest, n = xxhash.xxh64_intdigest, len(ends)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, SHINGLES_AT_ONCE):
-        h = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    cuts = range(0, n, SHINGLES_AT_ONCE)
+    return majority((np.array([digest(whole[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], np.uint64) for i in cuts), n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +66,7 @@ def _near(bits: int, at_most: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(at_most + 1) for c in combinations(range(bits), k)]
 
 
-def _links(fps: np.ndarray, prefix: int, length: int, half: int, out: list[np.ndarray]) -> None:
+def _links(fps: np.ndarray, prefix: int, length: int, half: int, at_once: int, out: list[np.ndarray]) -> None:
     """Appends (smallest, other) for the fingerprints that share a variant whose first ``length`` bits are ``prefix``."""
     low = BITS - length
     used = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)) if 0 < length < BITS else np.zeros(len(fps), np.uint8)
@@ -69,9 +74,9 @@ def _links(fps: np.ndarray, prefix: int, length: int, half: int, out: list[np.nd
         return
     used = used[used <= half]
     ways = [sum(math.comb(low, j) for j in range(half - u + 1)) for u in range(half + 1)]
-    if sum(int((used == u).sum()) * ways[u] for u in range(half + 1)) > MADE_AT_ONCE and low > 4:
+    if sum(int((used == u).sum()) * ways[u] for u in range(half + 1)) > at_once and low > 4:
         for bit in (0, 1):
-            _links(fps, prefix * 2 + bit, length + 1, half, out)
+            _links(fps, prefix * 2 + bit, length + 1, half, at_once, out)
         return
     rest = fps & np.uint64((1 << low) - 1)
     keys, owners = [], []
@@ -96,14 +101,14 @@ def _links(fps: np.ndarray, prefix: int, length: int, half: int, out: list[np.nd
     out.append(np.unique(pairs, axis=0))
 
 
-def _meet(batches: Iterator[pa.RecordBatch], length: int, half: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], length: int, half: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """Rows (at, fp) come sorted by their prefix ``at``; one prefix is held at a time."""
     here, held = None, []
 
     def met() -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         if here is not None:
-            _links(np.concatenate(held), here, length, half, out)
+            _links(np.concatenate(held), here, length, half, at_once, out)
         for pairs in out:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
 
@@ -118,8 +123,11 @@ def _meet(batches: Iterator[pa.RecordBatch], length: int, half: int) -> Iterator
     yield from met()
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a long, b long): links among the distinct fingerprints of column ``fp``, enough for all that is reachable."""
+def near_links(fps: DataFrame, radius: int = RADIUS, at_once: int = MADE_AT_ONCE) -> DataFrame:
+    """(a long, b long): links among the distinct fingerprints of column ``fp``, enough for all that is reachable.
+
+    ``at_once`` bounds the variants that a worker makes at a time, and with them its memory.
+    """
     n, half = fps.count(), radius // 2
     variants = sum(math.comb(BITS, j) for j in range(half + 1))
     length = min(LONGEST, max(4, math.ceil(math.log2(max(2, n * variants / PREFIX_VARIANTS)))))
@@ -128,7 +136,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     routed = fps.select(F.explode(F.transform(masks, lambda m: head.bitwiseXOR(m).cast("long"))).alias("at"), "fp")
     routes = n * sum(math.comb(length, j) for j in range(half + 1))
     tasks = min(1 << length, max(fps.sparkSession.sparkContext.defaultParallelism * 4, math.ceil(routes / TASK_ROWS)))
-    met = routed.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(lambda bs: _meet(bs, length, half), "a long, b long")
+    met = routed.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(lambda bs: tidied(_meet(bs, length, half, at_once)), "a long, b long")
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
