@@ -39,3 +39,25 @@ def test_a_leaf_of_many_templates(docs):
     rows += [(1000 + i, f"in the first {words(i)}") for i in range(60)]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(docs(rows)).collect()}
     assert all(n == (i < 1000 and i % 100 > 0) for i, n in got.items())
+
+
+def test_small_tables_are_few_files(docs, spark, monkeypatch):
+    """A table of few lines isn't written as a file for each of many shuffle partitions."""
+    put, files = line_dedup.Scratch.put, []
+
+    def counted(self, df):
+        back = put(self, df)
+        files.append(len(back.inputFiles()))
+        return back
+
+    monkeypatch.setattr(line_dedup.Scratch, "put", counted)
+    rows = [(2 * i + k, f"lead of all {words(i)} own{words(i)[3:5]}{k}\nalone {words(i)}") for i in range(400) for k in range(2)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = line_dedup.line_dedup(docs(rows).coalesce(2)).agg({"n_dropped": "sum"}).first()[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got >= 400 and max(files) <= 2 * spark.sparkContext.defaultParallelism

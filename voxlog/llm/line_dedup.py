@@ -14,6 +14,7 @@ the decisions.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,8 @@ TOKENS, CHARS, SHORT_DOCUMENTS, SHORT_SHARE = 3, 20, 5, 1 / 500
 FIXED_TOKENS, FIXED_SHARE, LINE_SHARE, LINES = 5, 0.7, 0.25, 2
 #: Rows (three numbers each) that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Lines for each file of a written table at least, from two files a core on. On a local file system Hadoop starts a process for each.
+FILE_LINES = 100_000
 _NO_ID = -(2**63)
 
 
@@ -54,15 +57,15 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _generalised(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(leaf, h, template) for the lines whose variable fields are generalised.
+def _generalised(lines: DataFrame, scratch: Scratch, files: int) -> DataFrame:
+    """(leaf, h, template) for the lines whose variable fields are generalised; its tables have ``files`` files at most.
 
     A group of the lines that are left is less than LINE_SHARE of the one it is taken from, so the rounds grow with the
     logarithm of the largest leaf.
     """
-    several = scratch.put(lines.where("line is not null").groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("leaf"))
+    several = scratch.put(lines.where("line is not null").groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("leaf").coalesce(files))
     texts = lines.where("line is not null").join(_few(several), "leaf", "left_semi").groupBy("leaf", "h").agg(F.any_value("line").alias("line"))
-    tokens = scratch.put(texts.select("leaf", "h", F.posexplode(F.split("line", " ")).alias("at", "token")).select("leaf", "h", "at", F.xxhash64("token").alias("token")))
+    tokens = scratch.put(texts.select("leaf", "h", F.posexplode(F.split("line", " ")).alias("at", "token")).select("leaf", "h", "at", F.xxhash64("token").alias("token")).coalesce(files))
     done, group = [], tokens.withColumn("group", F.col("leaf"))
     while True:
         variants = group.where("at = 0").groupBy("group").agg(F.count("*").alias("variants"))
@@ -74,12 +77,12 @@ def _generalised(lines: DataFrame, scratch: Scratch) -> DataFrame:
             F.count("*").alias("n"), F.count_if("fixed").alias("fixed"), F.bit_xor(F.when(F.col("fixed"), F.xxhash64("at", "token"))).alias("template"), anchor.alias("anchor")
         )
         whole = (F.col("fixed") >= FIXED_TOKENS) & (F.col("fixed") >= FIXED_SHARE * F.col("n"))
-        templates = scratch.put(templates.withColumn("whole", whole))
+        templates = scratch.put(templates.withColumn("whole", whole).coalesce(files))
         done.append(templates.where("whole").select("leaf", "h", "template"))
         rest = templates.where("not whole and anchor is not null")
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        group = scratch.put(tokens.join(rest.select("leaf", "h", F.xxhash64("group", "anchor.at", "anchor.token").alias("group")), ["leaf", "h"]))
+        group = scratch.put(tokens.join(rest.select("leaf", "h", F.xxhash64("group", "anchor.at", "anchor.token").alias("group")), ["leaf", "h"]).coalesce(files))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, short_documents: int = SHORT_DOCUMENTS, short_share: float = SHORT_SHARE) -> DataFrame:
@@ -95,16 +98,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
     lines = scratch.put(_lines(df.select(*key, text_of(text_col).alias("text"))))
     tree = Scratch(df.sparkSession, "line-dedup-tree")
-    merged = scratch.put(_generalised(lines, tree))
+    files = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(lines.count() / FILE_LINES))
+    merged = scratch.put(_generalised(lines, tree, files).coalesce(files))
     tree.clear()
     named = lines.drop("line").join(_few(merged), ["leaf", "h"], "left").select("id", "th", "pos", "leaf", F.coalesce("template", "h").alias("t"), "short")
-    read, lines = lines, scratch.put(named)
+    read, lines = lines, scratch.put(named.coalesce(files))
     scratch.drop(read, merged)
     once = lines.groupBy("leaf", "t", "id", "th").agg(F.max("short").alias("short"))
     recurring = once.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min_by("th", "id").alias("first_th"), F.max("short").alias("short"))
     often = max(short_documents, short_share * df.count())
     recurring = recurring.where((F.col("short").isNull() & (F.col("docs") >= documents)) | (F.col("short") & (F.col("docs") >= often)))
-    recurring = scratch.put(recurring.drop("docs", "short"))  # joined from a written table, so that a template that most documents hold can be split
+    recurring = scratch.put(recurring.drop("docs", "short").coalesce(files))  # joined from a written table, so that a template that most documents hold can be split
     gone = lines.join(recurring, ["leaf", "t"]).where((F.col("id") != F.col("first")) | (F.col("th") != F.col("first_th")))
     gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
