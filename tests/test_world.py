@@ -196,3 +196,39 @@ def test_fold_of_no_op_rule(spark):
             now[k] = r["value"]
     assert {r["event_id"] for r in changes.unchanged(log).collect()} == want
     assert {tuple(r[c] for c in KEY): r["value"] for r in snapshot.live(log).collect()} == {k: v for k, v in now.items() if v is not None}
+
+
+def test_small_regions_share_files(spark, tmp_path):
+    """Files follow the bytes, not the regions; a compacted region leaves what others have in its files as it was."""
+    world = World(spark, f"file://{tmp_path}/w")
+    for step in range(2):
+        world.write(rows(spark, *[put(32 * i, b"%d" % (step * i), 0, 0) for i in range(60)], *[put(32 * i + 1, None if step else b"n", 0, 1) for i in range(60)]))
+    assert len(list(tmp_path.glob("w/log/**/*.parquet"))) <= 8 and len(world.regions()) == 60
+    assert all(s["totals"]["stored_bytes"] > 0 for s in world.commits.state()[1].values())
+    want, ids = held(world), {r["chunk_x"]: r["batch_id"] for r in world.live().collect()}
+    assert len(want) == 60 and world.compact(0, 3, 0) and held(world) == want
+    assert {r["chunk_x"]: r["batch_id"] for r in world.live().collect()} == ids and world.last_batch_ids() == [(0, i, 0, 2) for i in range(60)]
+    assert world.log([(0, 3, 0)]).count() == 1 and world.log([(0, 4, 0)]).count() == 4 and world.log([(0, i, 0) for i in range(20)]).count() == 77
+    assert world.log().count() == 60 * 4 - 3 and [s["base"] for s in world.commits.state()[1].values()].count(2) == 1
+    assert world.vacuum() > 0 and world.verify()["problems"] == 0 and world.verify()["batches"] == 119
+    world.compact_async(0, 5, 0)
+    world.compact_async(0, 6, 0)  # both in the same files
+    world.wait()
+    assert held(World(spark, f"file://{tmp_path}/w")) == want and world.log().count() == 60 * 4 - 9
+    world.compact_world()
+    assert held(world) == want and world.log().count() == 60 and world.counters()["records_written"] == 240
+
+
+def test_worlds_with_a_folder_for_each_region(spark, tmp_path):
+    """As they were written before: read, appended to and compacted."""
+    world = World(spark, f"file://{tmp_path}/w")
+    world.write(rows(spark, put(0, b"a"), put(40, b"b", 0, 1)))
+    old = World(spark, f"file://{tmp_path}/old")
+    world.log().write.partitionBy("dimension", "region_x", "region_z").parquet(str(tmp_path / "old/log/commit=c1"))
+    files = {f.parent.parent.name.split("=")[1]: str(f.relative_to(tmp_path / "old/log")) for f in (tmp_path / "old/log").glob("**/*.parquet")}
+    old.commits.add(0, {f"00000000-0000000{x}-00000000.region": {"add": [f], "last": 1, "keys": 1} for x, f in files.items()})
+    assert held(old) == held(world) and len(held(old)) == 2
+    old.write(rows(spark, put(0, b"c")))
+    assert old.get(0, 0, 0, 0x2C) == b"c" and old.get(0, 40, 0, 0x2C) == b"b" and old.verify()["problems"] == 0
+    old.compact_world()
+    assert old.vacuum() == 3 and {k[1]: v for k, v in held(old).items()} == {0: b"c", 40: b"b"}
